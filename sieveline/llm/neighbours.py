@@ -18,8 +18,9 @@ from sieveline.storage import attach, materialise
 
 #: Vectors the centres of the shards are fitted on; the index holds every vector all the same.
 SAMPLE_ROWS = 40_000
-#: Shards at least, vectors of a shard on average beyond that, and at most (larger ones are parted by a hash).
-SHARDS, SHARD_ROWS, SHARD_MOST = 64, 20_000, 60_000
+#: Up to SHARDS shards have FEW_ROWS vectors on average; beyond that a shard has up to SHARD_NUMBERS numbers on
+#: average, and at most twice that (larger ones are parted by a hash).
+SHARDS, FEW_ROWS, SHARD_NUMBERS = 64, 2_000, 6_400_000
 #: Shards each vector is looked up in, and vectors looked up by one task.
 PROBES, CHUNK_ROWS = 4, 20_000
 
@@ -125,13 +126,14 @@ def nearest(vectors: DataFrame, dim: int, k: int = 10, ef: int = 64, probes: int
     share = min(1.0, SAMPLE_ROWS / n)
     sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE_ROWS).select("vector").toArrow()
     matrix = _units(_matrix(sample.column(0).combine_chunks(), dim)).astype(np.float32) if sample.num_rows else np.ones((1, dim), np.float32)
-    shards = max(SHARDS, -(-n // SHARD_ROWS))
-    centres = fit_centres(matrix, min(shards, max(1, len(matrix) // 20)))
+    most = max(1, SHARD_NUMBERS // dim)
+    shards = max(min(SHARDS, -(-n // FEW_ROWS)), -(-n // most))
+    centres = fit_centres(matrix, min(shards, max(1, len(matrix) // 8)))
     probes = min(probes, len(centres))
 
     routed_schema = StructType([StructField("shard", IntegerType()), StructField("home", BooleanType()), StructField("id", LongType()), StructField("vector", ArrayType(FloatType()))])
     routed = classes.select("id", "vector").mapInArrow(partial(_route, centres=centres, probes=probes, dim=dim, schema=to_arrow_schema(routed_schema)), routed_schema)
-    sizes = [(r["shard"], -(-r["homes"] // SHARD_MOST), -(-r["looks"] // CHUNK_ROWS)) for r in routed.groupBy("shard").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("looks")).collect()]  # a row per shard
+    sizes = [(r["shard"], -(-r["homes"] // (2 * most)), -(-r["looks"] // CHUNK_ROWS)) for r in routed.groupBy("shard").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("looks")).collect()]  # a row per shard
     sizes = F.broadcast(spark.createDataFrame(sizes, "shard int, parts long, chunks long"))
     routed = routed.join(sizes, "shard")
     spread = F.xxhash64("id", F.lit("part"))

@@ -2,6 +2,139 @@
 
 from __future__ import annotations
 
+#: A position, and what ends a sentence, as in sieveline.llm.text.
+POSITION = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\r\n\x{00A0}]"
+
+SENTENCES = r"""
+sentences AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\r\n\x{00A0}]', '\1' || chr(1), 'g'), '\n[ \t\r]*\n', chr(1), 'g'), chr(1))) AS s
+  FROM texts
+)"""
+
+P1_FOUND = rf"""
+WITH texts AS (SELECT doc_id, build_id, nfc_normalize(text) AS text FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, build_id, len(regexp_extract_all(text, '{POSITION}')) + 2 AS size FROM texts),
+{SENTENCES},
+counts AS (SELECT build_id, count(DISTINCT doc_id) AS n FROM sized WHERE size > 512 GROUP BY build_id)
+SELECT DISTINCT 'over_window' AS case_kind, doc_id AS case_id FROM sized WHERE size > 512
+UNION ALL
+SELECT DISTINCT 'no_boundary', doc_id FROM sentences WHERE len(regexp_extract_all(s, '{POSITION}')) + 2 > 512
+UNION ALL
+SELECT DISTINCT 'build_count', b.build_id FROM builds b LEFT JOIN counts c ON b.build_id = c.build_id
+WHERE b.passages_over_window IS NOT NULL AND b.build_id IS NOT NULL AND b.passages_over_window <> coalesce(c.n, 0)
+"""
+
+P2_FOUND = r"""
+WITH texts AS (SELECT doc_id, min(nfc_normalize(text)) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
+words AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\p{L}+'))) AS term FROM texts),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+terms AS (SELECT term, count(*) AS df FROM counts GROUP BY term)
+SELECT doc_id, term FROM counts JOIN terms USING (term)
+WHERE tf >= 3 AND df BETWEEN 2 AND 8 AND length(term) >= 4 AND regexp_full_match(term, '[a-z\x{00DF}-\x{024F}]+')
+"""
+
+P2_SCORES = r"""
+WITH texts AS (SELECT doc_id, min(nfc_normalize(text)) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
+words AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\p{L}+'))) AS term FROM texts),
+counts AS (SELECT doc_id, term, CAST(count(*) AS INTEGER) AS tf FROM words GROUP BY doc_id, term),
+terms AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS term_total FROM counts GROUP BY term),
+records AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS record_total FROM counts GROUP BY doc_id),
+whole AS (SELECT CAST(sum(tf) AS DOUBLE) AS total FROM counts),
+scored AS (
+  SELECT doc_id, term, tf, df, term_total, record_total, record_total * term_total / total AS expected, total
+  FROM counts JOIN terms USING (term) JOIN records USING (doc_id), whole
+)
+SELECT doc_id, term, tf, df, term_total, record_total, round(expected, 6) AS expected, round((tf - expected) / sqrt(expected), 6) AS residual,
+  round((tf - expected) / sqrt(expected) / sqrt((1 - record_total / total) * (1 - term_total / total)), 6) AS adjusted
+FROM scored
+"""
+
+LIVE = """
+last AS (
+  SELECT id, arg_max(struct_pack(op := lower(trim(op)), vector := vector), step_no) AS l FROM mutations
+  WHERE lower(trim(op)) IN ('add', 'delete') AND id IS NOT NULL GROUP BY id
+),
+live AS (
+  SELECT id, CAST(l.vector AS DOUBLE[]) AS v FROM last WHERE l.op = 'add' AND l.vector IS NOT NULL AND len(l.vector) = 32
+  AND len(list_filter(l.vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(l.vector, lambda x: x <> 0)) > 0
+)"""
+
+P3_FOUND = f"""
+WITH {LIVE},
+scored AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score FROM live a, live b WHERE a.id <> b.id),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 12) DESC, b) <= 10)
+SELECT x.a AS id_a, x.b AS id_b FROM best x JOIN best y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.score >= 0.98
+"""
+
+LATEST = """
+wanted AS (SELECT query_id, max(k) AS k FROM fusion WHERE query_id IS NOT NULL AND k >= 1 GROUP BY query_id),
+latest AS (
+  SELECT query_id, id, score FROM results WHERE query_id IS NOT NULL AND id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY scored_at DESC NULLS LAST, score DESC NULLS LAST) = 1
+),
+ranked AS (
+  SELECT query_id, id, score, k, row_number() OVER (PARTITION BY query_id ORDER BY score + 0.0 DESC, id) AS rank
+  FROM latest JOIN wanted USING (query_id) WHERE score IS NOT NULL AND isfinite(score)
+)"""
+
+P4_RESULTS = f"WITH {LATEST} SELECT query_id, id, score + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= k"
+
+P4_FOUND = f"""
+WITH {LATEST},
+cases AS (SELECT DISTINCT id AS case_id, k, expected FROM fusion WHERE id IS NOT NULL AND k >= 1 AND expected IS NOT NULL),
+items AS (SELECT case_id, k, unnest(expected) AS x FROM cases),
+placed AS (
+  SELECT case_id, k, x.id AS item_id, row_number() OVER (PARTITION BY case_id ORDER BY x.score + 0.0 DESC, x.id) AS rank
+  FROM items WHERE x.score IS NOT NULL AND isfinite(x.score) AND x.id IS NOT NULL
+)
+SELECT 'results' AS origin, query_id AS group_id, id AS item_id FROM ranked WHERE rank <= k
+UNION ALL SELECT 'fusion', case_id, item_id FROM placed WHERE rank <= k
+"""
+
+P5_FOUND = """
+WITH cases AS (
+  SELECT DISTINCT 'fusion' AS origin, id AS case_id, lexical AS a, lexical_scores AS x, dense AS b, dense_scores AS y FROM fusion WHERE id IS NOT NULL AND expected IS NULL
+  UNION
+  SELECT DISTINCT 'pipeline_order', name, fused, fused_scores, fused[1:len(scores)], scores FROM pipeline_order WHERE name IS NOT NULL AND expected IS NULL AND scores IS NOT NULL
+),
+long AS (
+  SELECT origin, case_id, unnest(a) AS item_id, unnest(x) AS p, CAST(NULL AS DOUBLE) AS q FROM cases
+  UNION ALL SELECT origin, case_id, unnest(b), NULL, unnest(y) FROM cases
+),
+items AS (
+  SELECT origin, case_id, item_id, max(p) FILTER (isfinite(p)) AS p, max(q) FILTER (isfinite(q)) AS q
+  FROM long WHERE item_id IS NOT NULL GROUP BY ALL
+),
+kept AS (SELECT * FROM items WHERE (p IS NOT NULL AND q IS NOT NULL) OR (origin = 'fusion' AND (p IS NOT NULL OR q IS NOT NULL))),
+middle AS (SELECT origin, case_id, quantile_disc(p, 0.5) AS pm, quantile_disc(q, 0.5) AS qm, min(p) AS pl, min(q) AS ql FROM kept GROUP BY ALL),
+spread AS (
+  SELECT origin, case_id, pm, qm, pl, ql, quantile_disc(abs(p - pm), 0.5) AS pd, quantile_disc(abs(q - qm), 0.5) AS qd, avg(abs(p - pm)) AS pa, avg(abs(q - qm)) AS qa
+  FROM kept JOIN middle USING (origin, case_id) GROUP BY ALL
+),
+scaled AS (SELECT *, CASE WHEN pd > 0 THEN pd * 1.4826 ELSE pa * 1.2533 END AS ps, CASE WHEN qd > 0 THEN qd * 1.4826 ELSE qa * 1.2533 END AS qs FROM spread),
+z AS (
+  SELECT k.origin, k.case_id, k.item_id,
+    CASE WHEN ps > 0 THEN (coalesce(p, pl) - pm) / ps ELSE 0 END - CASE WHEN p IS NULL THEN 1 ELSE 0 END AS zp,
+    CASE WHEN qs > 0 THEN (coalesce(q, ql) - qm) / qs ELSE 0 END - CASE WHEN q IS NULL THEN 1 ELSE 0 END AS zq
+  FROM kept k JOIN scaled s ON k.origin = s.origin AND k.case_id = s.case_id
+),
+combined AS (
+  SELECT origin, case_id, item_id, exp(-0.5 * ln(1 + exp(-greatest(-500, least(500, coalesce(zp, 0))))) - 0.5 * ln(1 + exp(-greatest(-500, least(500, coalesce(zq, 0)))))) AS c FROM z
+)
+SELECT origin, case_id, item_id FROM combined QUALIFY row_number() OVER (PARTITION BY origin, case_id ORDER BY c DESC, item_id) = 1
+"""
+
+P8_FOUND = rf"""
+WITH texts AS (SELECT DISTINCT doc_id, nfc_normalize(text) AS text FROM documents WHERE text IS NOT NULL AND split_part(lower(trim(lang)), '-', 1) = 'en'),
+{SENTENCES},
+counted AS (SELECT doc_id, regexp_extract_all(s, '\p{{L}}+') AS w FROM sentences),
+measured AS (
+  SELECT doc_id, sum(len(w)) AS words, count(*) AS n, sum(list_sum(list_transform(w, lambda x: length(x)))) AS letters FROM counted WHERE len(w) > 0 GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN words / n >= 18 THEN 'hard' ELSE 'easy' END AS band FROM measured
+WHERE words >= 30 AND ((words / n >= 18 AND letters / words >= 6.0) OR (words / n <= 10 AND letters / words <= 4.2))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_scores": P2_SCORES, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p5_found": P5_FOUND, "p8_found": P8_FOUND}

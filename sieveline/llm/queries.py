@@ -41,7 +41,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return distinctive.distinctive_terms(_table(spark, folder, "documents"), "doc_id", "text")
+    scores = distinctive.distinctive_terms(_table(spark, folder, "documents"), "doc_id", "text")
+    return scores.withColumns({c: F.round(c, 6) for c in ("expected", "residual", "adjusted")})
 
 
 def p2_top_terms(spark: SparkSession, folder: str) -> DataFrame:
