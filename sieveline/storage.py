@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,3 +81,57 @@ def once_per_key(df: DataFrame, key: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     repeated = df.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("__row"))
     return single.unionByName(repeated.select(key, *[F.col("__row")[c].alias(c) for c in rest]))
+
+
+def number_rows(df: DataFrame, order: Sequence[str], start: int = 0, name: str = "number") -> DataFrame:
+    """df with dense numbers from `start` in the given order, whatever its size: rows are sorted by range over all
+    tasks and numbered by their place in the range plus the rows of the ranges before."""
+    refuse_clash(df.columns, [name, "__range"])
+    keys = [F.col(c) for c in order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__range", F.spark_partition_id())
+    placed = materialise(placed, "numbered")
+    sizes = sorted((r["__range"], r["count"]) for r in placed.groupBy("__range").count().collect())  # a row per task
+    starts, at = [], start
+    for r, n in sizes:
+        starts.append((r, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(starts, "__range int, __start long")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
+    return placed.withColumn("__own", own).join(F.broadcast(offsets), "__range").withColumn(name, F.col("__start") + F.col("__own")).select(*df.columns, name)
+
+
+class Files:
+    """Small files beside tables, on whatever file system the path names."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder, self._jvm = folder.rstrip("/"), spark._jvm
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def exists(self, name: str = "") -> bool:
+        return self._fs.exists(self._path(self.at(name) if name else self.folder))
+
+    def write(self, name: str, text: str) -> None:
+        """Written beside and renamed: a reader sees the old or the new text."""
+        beside = self._path(self.at(f".{name}.{uuid.uuid4().hex}"))
+        out = self._fs.create(beside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        target = self._path(self.at(name))
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), self._jvm.org.apache.hadoop.conf.Configuration())
+        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        self._jvm.java.lang.reflect.Array.set(options, 0, self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()[1])
+        context.rename(self._fs.makeQualified(beside), self._fs.makeQualified(target), options)
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(self.at(name)))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path(self.at(name)), True)
