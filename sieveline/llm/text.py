@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 
 #: White space between positions.
-BLANK = " \t\r\n "
+BLANK = " \t\r\n\xa0"
 #: A position: a maximal run of letters and digits, or any other single character that is not blank.
 POSITION = re.compile(rf"[^\W_]+|[^\w{BLANK}]|_")
 #: A word: a maximal run of letters.
