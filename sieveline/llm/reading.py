@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -23,6 +25,23 @@ from sieveline.storage import refuse_clash
 MOST_RATED, LEAST_RATED = 20_000, 5
 LEVELS = (1.0, 5.0)
 VOWELS = regex.compile(r"[aeiouyäöüáéíóúàèìòùâêîôû]+")
+DIGITS = re.compile(r"\d+")
+#: Words whose syllables a worker keeps.
+KEPT = 200_000
+
+
+class _Syllables(dict):
+    """Runs of vowels of a word, one at least."""
+
+    def __missing__(self, word: str) -> int:
+        n = max(1, len(VOWELS.findall(word)))
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = n
+        return n
+
+
+SYLLABLES = _Syllables()
 #: Length, vocabulary, syntax and cohesion; the first four are also columns of the result.
 FEATURES = (
     "words", "sentences", "words_per_sentence", "letters_per_word",
@@ -46,21 +65,26 @@ def features(text: str) -> list[float] | None:
             lower += own
     if not lower:
         return None
-    lengths = np.fromiter(map(len, lower), np.int32, len(lower))
-    runs = np.array(counts)
-    kinds: dict[str, int] = {}
-    for w in lower:
-        kinds[w] = kinds.get(w, 0) + 1
-    syllables = {w: max(1, len(VOWELS.findall(w))) for w in kinds}
-    n, m = len(lower), len(runs)
+    kinds = Counter(lower)
+    n, m = len(lower), len(counts)
+    letters = squares = long = short = syllables = hard = once = 0
+    for w, c in kinds.items():
+        k, s = len(w), SYLLABLES[w]
+        letters += c * k
+        squares += c * k * k
+        syllables += c * s
+        long += c * (k >= 7)
+        short += c * (k <= 3)
+        hard += c * (s >= 3)
+        once += c == 1
+    spread = sum([c * c for c in counts]) / m - (n / m) ** 2
     shared = [len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:])]
     marks = text.count(";") + text.count(":") + text.count("(")
     return [
-        n, m, n / m, float(lengths.mean()),
-        float(runs.std()), float(runs.max()), float(lengths.std()), float((lengths >= 7).mean()), float((lengths <= 3).mean()),
-        sum(c * syllables[w] for w, c in kinds.items()) / n, sum(c for w, c in kinds.items() if syllables[w] >= 3) / n,
-        len(kinds) / n**0.5, sum(c == 1 for c in kinds.values()) / len(kinds), text.count(",") / m, marks / m, text.count("?") / m,
-        sum(map(str.isdigit, text)) / n, capitals / n, sum(shared) / len(shared) if shared else 0.0, max(kinds.values()) / n, n / (text.count("\n\n") + 1),
+        n, m, n / m, letters / n,
+        max(spread, 0.0) ** 0.5, max(counts), max(squares / n - (letters / n) ** 2, 0.0) ** 0.5, long / n, short / n, syllables / n, hard / n,
+        len(kinds) / n**0.5, once / len(kinds), text.count(",") / m, marks / m, text.count("?") / m,
+        sum(map(len, DIGITS.findall(text))) / n, capitals / n, sum(shared) / len(shared) if shared else 0.0, max(kinds.values()) / n, n / (text.count("\n\n") + 1),
     ]
 
 
