@@ -1,0 +1,29 @@
+"""The queries that have SQL, on the smallest tables; and what holds for all of them."""
+
+import pytest
+from helpers import rows, sql_rows
+
+from sieveline.llm.oracles import oracle_sql
+from sieveline.llm.queries import queries
+
+
+@pytest.mark.parametrize("name", [n for n in oracle_sql() if n not in ("p3_found", "p8_found")])
+def test_against_sql(spark, sf, duck, name):
+    assert rows(queries()[name](spark, sf)) == sql_rows(duck, oracle_sql()[name])
+
+
+def test_columns(spark, sf):
+    want = {
+        "p1_found": ["case_kind", "case_id"], "p2_found": ["doc_id", "term"], "p3_found": ["id_a", "id_b"], "p4_found": ["origin", "group_id", "item_id"],
+        "p5_found": ["origin", "case_id", "item_id"], "p6_ids": ["doc_id", "ids"], "p7_found": ["mix_id", "source"], "p8_found": ["doc_id", "band"],
+    }
+    for name, columns in want.items():
+        assert queries()[name](spark, sf).columns == columns
+
+
+def test_reports(spark, sf):
+    assert [tuple(r) for r in queries()["p6_decoded"](spark, sf).collect()] == [(True, spark.read.parquet(f"{sf}/documents.parquet").count())]
+    assert queries()["p8_validation"](spark, sf).columns[0] == "source"
+    assert queries()["p7_selection"](spark, sf).where("copies < 1").count() == 0
+    assert queries()["p2_top_terms"](spark, sf).where("rank > 5").count() == 0
+    assert queries()["p1_pieces"](spark, sf).where("piece_size > 512").count() == 0
