@@ -82,7 +82,7 @@ def chunk(body: str | None, budget: int, cost: Cost = word_cost) -> list[Passage
     """Passages of a body whose units cost at most `budget` together.
 
     Units are paragraphs; one that does not fit alone gives way to its sentences, these to their words, these to
-    halves down to single characters, which stand even if they do not fit. Units are packed in order: one that does
+    halves. A part whose half has no character border within it stands even if it does not fit. Units are packed in order: one that does
     not fit beside what the passage has opens the next. Text: units with white space collapsed, joined by a space, or
     by a line feed where a paragraph begins. No body or budget 0: no passage.
     """
@@ -96,10 +96,12 @@ def chunk(body: str | None, budget: int, cost: Cost = word_cost) -> list[Passage
         nonlocal spent, pack
         text = body[start:end] if level >= 2 else _RUN.sub(" ", body[start:end])
         price = cost(text)
-        if price > budget and (level < 2 or end - start > 1):
-            for i, (a, b) in enumerate(_finer(body, min(level, 2), start, end)):
-                place(level + 1, a, b, opens and i == 0)
-            return
+        if price > budget:
+            finer = list(_finer(body, min(level, 2), start, end))
+            if level < 2 or len(finer) > 1:
+                for i, (a, b) in enumerate(finer):
+                    place(level + 1, a, b, opens and i == 0)
+                return
         if pack and spent + price > budget:
             done.append([pack, spent])
             pack, spent = [], 0
@@ -134,8 +136,8 @@ def _chunk_batches(batches: Iterator[pd.DataFrame], cost: Cost) -> Iterator[pd.D
                 owners.append(i)
                 made.append((ordinal, p.text, p.byte_start, p.byte_end, p.cost))
         out = rows[keys].iloc[owners].reset_index(drop=True)
-        for j, name in enumerate(("ordinal", "passage", "byte_start", "byte_end", "cost")):
-            out[name] = [m[j] for m in made]
+        for j, (name, kind) in enumerate((("ordinal", "int32"), ("passage", "object"), ("byte_start", "int64"), ("byte_end", "int64"), ("cost", "int32"))):
+            out[name] = pd.Series([m[j] for m in made], dtype=kind)
         yield out
 
 

@@ -60,6 +60,11 @@ def _checked(schema: Schema, name: str, values: Sequence[Any], refused: tuple[st
     return field, list(values)
 
 
+def _there(column: Column, condition: Column) -> Column:
+    """The condition where the column is not null, else false: never null, and in a form that reaches the scan."""
+    return column.isNotNull() & condition
+
+
 @dataclass(frozen=True)
 class Eq(Filter):
     field: str
@@ -67,7 +72,7 @@ class Eq(Filter):
 
     def column(self, schema: Schema) -> Column:
         _, (value,) = _checked(schema, self.field, [self.value], ("text",))
-        return F.coalesce(F.col(self.field) == F.lit(value), F.lit(False))
+        return _there(F.col(self.field), F.col(self.field) == F.lit(value))
 
 
 @dataclass(frozen=True)
@@ -77,7 +82,7 @@ class In(Filter):
 
     def column(self, schema: Schema) -> Column:
         _, values = _checked(schema, self.field, self.values, ("text",))
-        return F.coalesce(F.col(self.field).isin(values), F.lit(False)) if values else F.lit(False)
+        return _there(F.col(self.field), F.col(self.field).isin(values)) if values else F.lit(False)
 
 
 @dataclass(frozen=True)
@@ -99,7 +104,7 @@ class Range(Filter):
             inside = inside & (column >= F.lit(low))
         if high is not None:
             inside = inside & (column <= F.lit(high))
-        return F.coalesce(inside, F.lit(False))
+        return _there(column, inside)
 
 
 @dataclass(frozen=True)
@@ -134,7 +139,7 @@ class Not(Filter):
     part: Filter
 
     def column(self, schema: Schema) -> Column:
-        return ~F.coalesce(self.part.column(schema), F.lit(False))
+        return ~self.part.column(schema)
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -68,7 +67,11 @@ def score_head(fused: DataFrame, queries: DataFrame, passages: DataFrame, depth:
     """
     pairs = head(fused, depth).select("query_id", "doc_id", "rank").join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(passages.select("doc_id", F.col("text").alias("passage")), "doc_id", "left")
     kind = dict(fused.dtypes)["query_id"]
-    scored = pairs.groupBy("query_id").applyInPandas(partial(_score_query, reranker=reranker, budget=budget), f"query_id {kind}, doc_id long, rerank_score double")
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        return _score_query(rows, reranker, budget)
+
+    scored = pairs.groupBy("query_id").applyInPandas(work, f"query_id {kind}, doc_id long, rerank_score double")
     return fused.join(scored, ["query_id", "doc_id"], "left")
 
 
