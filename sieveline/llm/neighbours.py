@@ -144,7 +144,11 @@ def nearest(vectors: DataFrame, dim: int, k: int = 10, ef: int = 64, probes: int
     looks = looks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).select("shard", "part", "chunk", "id", "vector")
     held = index.join(sizes, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).drop("parts", "chunks")
     keys = ["shard", "part", "chunk"]
-    answers = looks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(partial(_search, k=k + 1, ef=ef), "id long, near array<long>, score array<double>")
+
+    def work(queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
+        return _search(queries, graphs, k + 1, ef)
+
+    answers = looks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(work, "id long, near array<long>, score array<double>")
     pairs = F.transform(F.arrays_zip("near", "score"), lambda x: F.struct((-x["score"]).alias("less"), x["near"].alias("near")))
     merged = answers.select("id", pairs.alias("p")).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p"))
     merged = materialise(merged, "answers")
