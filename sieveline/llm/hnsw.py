@@ -146,7 +146,8 @@ class Graph:
         for at in range(0, b, step):
             q = queries[at : at + step]
             rows = np.arange(len(q))
-            seen = np.zeros((len(q), n), bool)
+            seen = np.zeros((len(q), n + 1), bool)
+            seen[:, n] = True  # where empty places point
             i, s = ids[at : at + step], sims[at : at + step]
             i[:, 0] = starts[at : at + step, 0]
             s[:, 0] = np.einsum("ik,ik->i", self.vectors[i[:, 0]], q)
@@ -158,8 +159,9 @@ class Graph:
                 pick = fresh[active].argmax(1)  # the beam is in order, so the first fresh one is the best
                 fresh[active, pick] = False
                 near = links[slot[i[active, pick]]].astype(np.int64)
-                skip = (near < 0) | seen[active[:, None], np.maximum(near, 0)]
-                seen[active[:, None], np.maximum(near, 0)] |= near >= 0
+                place = np.where(near < 0, n, near)
+                skip = seen[active[:, None], place]
+                seen[active[:, None], place] = True
                 score = np.einsum("ijk,ik->ij", self.vectors[np.maximum(near, 0)], q[active])
                 score[skip] = -np.inf
                 worth = (score > s[active, -1:]).any(1)
