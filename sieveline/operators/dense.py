@@ -15,8 +15,8 @@ from sieveline.errors import DimensionMismatch, InvalidQuery
 
 METRICS = ("cosine", "dot", "euclidean")
 TINY = 2.0**-126
-#: Queries that one scan holds; more are scanned in turns.
-QUERY_BLOCK = 2_000
+#: Queries that one scan holds; more are scanned in turns. Scores that a task holds at once.
+QUERY_BLOCK, SCORES_AT_ONCE = 2_000, 2_000_000
 
 
 def _folded(values: Column, step) -> Column:
@@ -125,15 +125,19 @@ def codes_np(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale.astype(np.float32), norms
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, metric: str, k: int, int8: bool, digits: int) -> Iterator[pa.RecordBatch]:
     """The k best of this task for each query: what leaves a task does not grow with its rows."""
     nq = len(ids)
     best_s, best_i = np.full((nq, 0), 0.0), np.full((nq, 0), 0, np.int64)
     if int8:
         qc, qs, qn = codes_np(vectors)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _slices(batches, max(16, SCORES_AT_ONCE // nq)):
         rows = batch.column(0).to_numpy(zero_copy_only=False)
         if int8:
             dim = vectors.shape[1]

@@ -223,6 +223,18 @@ class HybridIndex:
             raise SchemaError("empty external_id" if empty else "unusable vector" if bad else "unusable expansion")
         self._staged.append(("add", last))
 
+    def add_embedded(self, rows: DataFrame, order: Sequence[str] = ("external_id",)) -> None:
+        """Stage rows that bring their vector."""
+        if "vector" not in rows.columns:
+            raise SchemaError("rows need a vector")
+        self.add(rows, order)
+
+    def add_encoded(self, rows: DataFrame, order: Sequence[str] = ("external_id",)) -> None:
+        """Stage rows that bring their vector and their expansion."""
+        if self.config.sparse is None or "expansion" not in rows.columns:
+            raise SchemaError("rows need an expansion, and the index a sparse field")
+        self.add_embedded(rows, order)
+
     def delete(self, external_ids: DataFrame | Sequence[str]) -> None:
         """Stage deletions; unknown ids are ignored. A number is never given again."""
         self._writable()

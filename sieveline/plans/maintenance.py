@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.operators.corpus_build import build
 from sieveline.operators.filters import Eq
 from sieveline.operators.index import HybridIndex, SearchOptions
 from sieveline.operators.lexical import Match
@@ -15,6 +16,7 @@ from sieveline.operators.recipes import run
 from sieveline.operators.rerank import OverlapReranker
 from sieveline.operators.schema import FieldDef, HybridConfig, Schema
 from sieveline.plans.common import ASKED, Registry, asked, asked_terms, best, norm, table, tokens
+from sieveline.sources.articles import TextCache, TitleSuffix
 from sieveline.storage import materialise, shared_folder
 from sieveline.streaming.ingest import ingest
 
@@ -127,3 +129,13 @@ def e_hybrid_recipe(spark: SparkSession, folder: str) -> DataFrame:
 def e_reranked_recipe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "title", "text")
     return run("hybrid-rerank-v3", docs, asked(spark, folder), EMBEDDER, OverlapReranker())
+
+
+@query("SELECT count(*) AS articles, count(*) FILTER (title LIKE '%mineral') AS excluded, count(*) FILTER (coalesce(title, '') NOT LIKE '%mineral') AS selected FROM documents WHERE length(text) > 0")
+def b_corpus_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as articles, through exclusion, passages, cached vectors and an index that is verified."""
+    schema = Schema((FieldDef("title", "text"), FieldDef("text", "text")))
+    index = HybridIndex.create(spark, f"{shared_folder(spark)}/sieveline/built-{uuid.uuid4().hex}", HybridConfig(schema, ("text",)), EMBEDDER)
+    cache = TextCache(spark, f"{shared_folder(spark)}/sieveline/vectors-{uuid.uuid4().hex}", EMBEDDER.fingerprint)
+    articles = table(spark, folder, "documents").where("length(text) > 0").select(F.col("doc_id").alias("id"), F.lit("https://example.org/").alias("url"), "title", "text")
+    return build(articles, [TitleSuffix("mineral", "mineral")], index, cache, "https://example.org/").select("articles", "excluded", "selected")
