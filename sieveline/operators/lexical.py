@@ -10,6 +10,7 @@ from functools import cached_property, reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.errors import InvalidQuery
 from sieveline.functions.analysis import analyze, analyze_text
@@ -285,22 +286,36 @@ class LexicalIndex:
         if len(terms) == 1:
             return self._terms(query.field, {terms[0]: 1}, boost)
         names = sorted(set(terms))
-        said = self.tokens(query.field).select("doc_id", "tokens")
-        docs = materialise(said.where(F.arrays_overlap("tokens", F.array(*[F.lit(n) for n in names]))), "phrase")
+        docs = materialise(self._places(query.field, names), "phrase")
         total, _ = self.constants[query.field]
-        freqs = docs.agg(*[F.count(F.when(F.array_contains("tokens", n), 1)).alias(f"t{i}") for i, n in enumerate(names)]).first()
+        freqs = docs.agg(*[F.count(F.when(F.size(f"p{i}") > 0, 1)) for i in range(len(names))]).first()
         if any(f == 0 for f in freqs):
             return self._nothing()
-        weight = sum((idf(F.lit(total), F.lit(freqs[names.index(t)])) for t in terms[1:]), idf(F.lit(total), F.lit(freqs[names.index(terms[0])]))) * (1 + K1)
-        full = docs.where(reduce(lambda a, b: a & b, [F.array_contains("tokens", n) for n in names]))
-        count = _exact_phrases(terms) if query.slop == 0 else phrase_counts(terms, query.slop)(F.col("tokens"))
-        found = full.select("doc_id", F.size("tokens").alias("length"), count.alias("tf")).where("tf > 0").withColumn("weight", weight)
+        weight = reduce(lambda a, b: a + b, [idf(F.lit(total), F.lit(freqs[names.index(t)])) for t in terms]) * (1 + K1)
+        full = docs.where(reduce(lambda a, b: a & b, [F.size(f"p{i}") > 0 for i in range(len(names))]))
+        places = [F.col(f"p{names.index(t)}") for t in terms]
+        count = _exact_phrases(places) if query.slop == 0 else phrase_counts(query.slop)(F.array(*places))
+        found = full.select("doc_id", "length", count.alias("tf")).where("tf > 0").withColumn("weight", weight)
         return found.select("doc_id", self._score(query.field, boost).alias("score"))
 
+    def _places(self, name: str, terms: Sequence[str]) -> DataFrame:
+        """(doc_id, length, p0, p1, ...): where each term stands, of the documents that have one of them."""
+        if self.stored_postings is not None:
+            rows = self.stored_postings.where((F.col("field") == name) & F.col("term").isin(list(terms)))
+            at = [F.coalesce(F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True), F.array().cast("array<int>")).alias(f"p{i}") for i, t in enumerate(terms)]
+            return rows.groupBy("doc_id").agg(F.first("length").alias("length"), *at)
+        said = self.tokens(name).where(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in terms])))
+        at = [_where("tokens", t).alias(f"p{i}") for i, t in enumerate(terms)]
+        return said.select("doc_id", F.size("tokens").alias("length"), *at)
+
     def _fuzzy(self, query: Fuzzy) -> DataFrame:
         boost = self._searchable(query.field, ("text", "keyword"))
         if not 0 <= query.distance <= 2:
             raise InvalidQuery("a fuzzy distance goes from 0 to 2")
+        if self.stored_postings is not None:
+            rows = self.stored_postings.where(F.col("field") == query.field)
+            words = rows.select("term").distinct().where(F.levenshtein(F.col("term"), F.lit(query.term), query.distance) >= 0)
+            return rows.join(words, "term", "left_semi").select("doc_id").distinct().select("doc_id", F.lit(float(boost)).alias("score"))
         tokens = self.tokens(query.field)
         hit = F.exists(F.array_distinct("tokens"), lambda t: F.levenshtein(t, F.lit(query.term), query.distance) >= 0)
         return tokens.where(hit).select("doc_id", F.lit(float(boost)).alias("score"))
@@ -343,12 +358,15 @@ def _summed(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score")) if len(parts) > 1 else parts[0]
 
 
-def _exact_phrases(terms: Sequence[str]) -> Column:
+def _where(tokens: str, term: str) -> Column:
+    """The places of a term in an array that is not empty."""
+    return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(F.col(tokens), i) == F.lit(term))
+
+
+def _exact_phrases(places: Sequence[Column]) -> Column:
     """How often the terms stand in a row."""
-    n = len(terms)
-    places = F.sequence(F.lit(1), F.size("tokens") - (n - 1))
-    at = F.filter(places, lambda i: reduce(lambda a, b: a & b, [F.get(F.col("tokens"), i - 1 + j) == F.lit(t) for j, t in enumerate(terms)]))
-    return F.when(F.size("tokens") >= n, F.size(at)).otherwise(0)
+    rest = list(enumerate(places))[1:]
+    return F.size(F.filter(places[0], lambda x: reduce(lambda a, b: a & b, [F.array_contains(p, x + j) for j, p in rest])))
 
 
 def sloppy_count(places: list[list[int]], slop: int) -> int:
@@ -377,15 +395,9 @@ def sloppy_count(places: list[list[int]], slop: int) -> int:
     return len(met)
 
 
-def phrase_counts(terms: Sequence[str], slop: int):
-    terms = list(terms)
-
-    @F.pandas_udf("int")
-    def count(tokens: pd.Series) -> pd.Series:
-        def one(said) -> int:
-            said = list(said)
-            return sloppy_count([[i for i, t in enumerate(said) if t == term] for term in terms], slop)
-
-        return tokens.map(one).astype("int32")
+def phrase_counts(slop: int):
+    @F.pandas_udf(T.IntegerType())
+    def count(places: pd.Series) -> pd.Series:
+        return places.map(lambda p: sloppy_count([list(x) for x in p], slop)).astype("int32")
 
     return count

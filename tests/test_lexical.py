@@ -82,6 +82,20 @@ QUERIES = [
 ]
 
 
+@pytest.fixture(scope="module")
+def stored(index):
+    """The same index with its postings written."""
+    from sieveline.storage import materialise
+
+    return LexicalIndex(index.docs, SCHEMA, stored_postings=materialise(index.all_postings(), "postings"))
+
+
+@pytest.mark.parametrize("query", [q for q in QUERIES if not isinstance(q, Bool)] + [Fuzzy("title", "lattice", 2)], ids=str)
+def test_stored_postings_agree(index, stored, query):
+    got = {r["doc_id"]: round(r["score"], 9) for r in stored.compile(query).collect()}
+    assert got == {r["doc_id"]: round(r["score"], 9) for r in index.compile(query).collect()}
+
+
 @pytest.mark.parametrize("query", QUERIES, ids=str)
 def test_trees(index, query):
     got = {r["doc_id"]: r["score"] for r in index.compile(query).collect()}
