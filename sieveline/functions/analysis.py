@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.errors import SchemaError
+from sieveline.storage import is_small, materialise
 
 ANALYZERS = ("standard", "standard_en")
 #: Tokens of this many bytes or more are dropped, before they are lower-cased.
@@ -58,7 +59,8 @@ def analyze_text(text: str, analyzer: str = "standard") -> list[str]:
 
 def stem_terms(rows: DataFrame, column: str = "term") -> DataFrame:
     """rows with the column stemmed: each distinct word is stemmed once and joined back."""
-    words = rows.select(column).distinct().select(F.col(column).alias("__word"), stem_words(F.col(column)).alias("__stem"))
+    words = materialise(rows.select(column).distinct().select(F.col(column).alias("__word"), stem_words(F.col(column)).alias("__stem")), "stems")
+    words = F.broadcast(words) if is_small(words) else words
     return rows.join(words, rows[column] == F.col("__word")).withColumn(column, F.col("__stem")).drop("__word", "__stem")
 
 

@@ -341,11 +341,10 @@ class HybridIndex:
         index = self.lexical()
 
         def lexical() -> DataFrame:
-            scores = index.match_batch(queries)
+            terms = {f.name: index.query_terms(queries, f.name) for f in self.config.schema.text_fields}
             if self.config.sparse and sparse_terms is not None:
-                terms = sparse.boosted_terms(sparse_terms, 1.0, False)
-                scores = scores.unionByName(index.term_scores(terms, SPARSE_FIELD)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-            return scores
+                terms[SPARSE_FIELD] = sparse.boosted_terms(sparse_terms, 1.0, False)
+            return index.field_scores(terms)
 
         return self._search(queries, k, condition, options, reranker, lexical)
 

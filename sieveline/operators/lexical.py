@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
@@ -16,7 +16,7 @@ from sieveline.errors import InvalidQuery
 from sieveline.functions.analysis import analyze, analyze_text
 from sieveline.operators.filters import Filter, resolve
 from sieveline.operators.schema import Schema
-from sieveline.storage import is_small, materialise
+from sieveline.storage import is_small, materialise, spread
 
 K1, B = 1.2, 0.75
 
@@ -137,7 +137,7 @@ class LexicalIndex:
         """(doc_id, tokens) of a text or keyword field, where the field is there."""
         f = self.schema[name]
         made = analyze(F.col(name), f.analyzer) if f.kind == "text" else F.array(F.col(name))
-        return self.docs.where(F.col(name).isNotNull()).select("doc_id", made.alias("tokens"))
+        return self._source.where(F.col(name).isNotNull()).select("doc_id", made.alias("tokens"))
 
     def field_postings(self, name: str, words: DataFrame | None = None) -> DataFrame:
         """(term, doc_id, tf, length) of a field; words: only these terms. Exact lengths, no positions."""
@@ -149,7 +149,8 @@ class LexicalIndex:
             said = self.tokens(name).select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
             if words is not None:
                 said = said.join(F.broadcast(words) if is_small(words) else words, "term", "left_semi")
-            return said.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+            # one exchange by document, which the documents of few files have behind them
+            return (said if self._by_document else said.repartition("doc_id")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
         if words is not None:
             rows = rows.join(F.broadcast(words) if is_small(words) else words, "term", "left_semi")
         return rows
@@ -164,21 +165,16 @@ class LexicalIndex:
         return reduce(DataFrame.unionByName, parts).select("field", "term", "doc_id", "tf", "length", "positions")
 
     @cached_property
-    def constants(self) -> dict[str, tuple[int, float]]:
-        """For each indexed text and keyword field: documents in all, and average length over all of them."""
-        sums = []
-        names = [f.name for f in self.schema.fields if f.indexed and f.kind in ("text", "keyword")]
-        for name in names:
-            f = self.schema[name]
-            # the number of tokens does not depend on stemming
-            size = F.size(analyze(F.col(name), "standard")) if f.kind == "text" else F.lit(1)
-            sums.append(F.sum(F.when(F.col(name).isNotNull(), size)).alias(name))
-        row = self.docs.agg(F.count("*").alias("__n"), *sums).first()
-        found = {n: (row["__n"], (row[n] or 0) / row["__n"] if row["__n"] else 0.0) for n in names}
-        for n, rows in self.extra.items():
-            lengths = rows.select("doc_id", "length").distinct().agg(F.sum("length")).first()[0] or 0
-            found[n] = (row["__n"], lengths / row["__n"] if row["__n"] else 0.0)
-        return found
+    def constants(self) -> Constants:
+        return Constants(self)
+
+    @cached_property
+    def _source(self) -> DataFrame:
+        return spread(self.docs, "doc_id")
+
+    @cached_property
+    def _by_document(self) -> bool:
+        return self._source is not self.docs
 
     # checks
 
@@ -205,16 +201,37 @@ class LexicalIndex:
         return said.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
     def term_scores(self, terms: DataFrame, name: str, boost: float | None = None) -> DataFrame:
-        """(query_id, doc_id, score) summed over (query_id, term, qtf): only postings of these terms are made or read."""
-        boost = self._searchable(name, ("text", "keyword")) if boost is None else boost
-        total, _ = self.constants[name]
-        terms = materialise(terms, "query-terms")
-        words = terms.select("term").distinct()
-        postings = materialise(self.field_postings(name, words), "postings")
-        stats = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", (idf(F.lit(total), F.col("df")) * (1 + K1)).alias("weight"))
-        wanted = terms.join(stats, "term")
-        wanted = F.broadcast(wanted) if is_small(terms) else wanted
-        scored = postings.join(wanted, "term").select("query_id", "doc_id", (self._score(name, boost) * F.col("qtf")).alias("score"))
+        """(query_id, doc_id, score) summed over (query_id, term, qtf) in one field."""
+        return self.field_scores({name: terms}, None if boost is None else {name: boost})
+
+    def field_scores(self, terms: dict[str, DataFrame], boosts: dict[str, float] | None = None) -> DataFrame:
+        """(query_id, doc_id, score) summed over (query_id, term, qtf) in each of several fields.
+
+        Only postings of these terms are made or read. They are exchanged by document once, while they are few;
+        scores of a document are then summed, and cut by a later top k, where they arise.
+        """
+        boosts = {n: self._searchable(n, ("text", "keyword")) if boosts is None else boosts[n] for n in terms}
+        self.constants.fill(terms)
+        asked = materialise(reduce(DataFrame.unionByName, [t.select("query_id", F.lit(n).alias("field"), "term", F.col("qtf").cast("double").alias("qtf")) for n, t in terms.items()]), "query-terms")
+        parts = [self.field_postings(n, asked.where(F.col("field") == n).select("term").distinct()).select(F.lit(n).alias("field"), "term", "doc_id", "tf", "length") for n in terms]
+        postings = materialise(reduce(DataFrame.unionByName, parts), "postings")
+        stats = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+
+        def of_field(values: dict[str, float]) -> Column:
+            return reduce(lambda rest, n: F.when(F.col("field") == n, F.lit(float(values[n]))).otherwise(rest), values, F.lit(0.0))
+
+        total = next(iter(self.constants[n][0] for n in terms))
+        weight = idf(F.lit(total), F.col("df")) * (1 + K1) * of_field(boosts) * F.col("qtf")
+        wanted = asked.join(stats, ["field", "term"]).select("field", "term", "query_id", weight.alias("weight"))
+        # what does not depend on the query is worked out once for each posting, before it meets its queries
+        length = norm_length(F.col("length")) if self.quantise else F.col("length")
+        average = of_field({n: self.constants[n][1] or 1.0 for n in terms})
+        postings = postings.select("field", "term", "doc_id", bm25(F.col("tf"), F.lit(1.0), length, average).alias("part"))
+        if is_small(asked):
+            # a fixed number of parts: by their bytes they look few, but each posting meets many queries
+            parts_ = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            wanted, postings = F.broadcast(wanted), postings.repartition(parts_, "doc_id")
+        scored = postings.join(wanted, ["field", "term"]).select("query_id", "doc_id", (F.col("weight") * F.col("part")).alias("score"))
         return scored.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
     def match_batch(self, queries: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
@@ -222,10 +239,7 @@ class LexicalIndex:
         names = [f.name for f in self.schema.text_fields] if fields is None else list(fields)
         for n in names:
             self._searchable(n)
-        parts = [self.term_scores(self.query_terms(queries, n), n) for n in names]
-        if len(parts) == 1:
-            return parts[0]
-        return reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        return self.field_scores({n: self.query_terms(queries, n) for n in names})
 
     def search_batch(self, queries: DataFrame, k: int, fields: Sequence[str] | None = None, condition: Filter | None = None, digits: int = 12) -> DataFrame:
         """The k best of each query. A filter takes candidates away; scores stay those of the whole corpus."""
@@ -238,25 +252,56 @@ class LexicalIndex:
     # one query tree
 
     def compile(self, query: LexicalQuery) -> DataFrame:
-        """(doc_id, score) of the documents a query tree matches."""
+        """(doc_id, score) of the documents a query tree matches. Postings of all its terms are made or read once."""
+        wanted: dict[str, set[str]] = {}
+        self._terms_of(query, wanted)
+        if not wanted:
+            return self._compile(query, None)
+        self.constants.fill(wanted)
+        spark = self.docs.sparkSession
+        parts = [self.field_postings(n, spark.createDataFrame([(t,) for t in sorted(ts)], "term string")).select(F.lit(n).alias("field"), "term", "doc_id", "tf", "length") for n, ts in wanted.items()]
+        postings = materialise(reduce(DataFrame.unionByName, parts), "postings")
+        df = {(r["field"], r["term"]): r["count"] for r in postings.groupBy("field", "term").count().collect()}  # a row per term of the tree
+        return self._compile(query, (postings, df))
+
+    def _terms_of(self, query: LexicalQuery, into: dict[str, set[str]]) -> None:
+        if isinstance(query, Match):
+            for n in [f.name for f in self.schema.text_fields] if query.field is None else [query.field]:
+                self._searchable(n)
+                if terms := set(analyze_text(query.text, self.schema[n].analyzer)):
+                    into.setdefault(n, set()).update(terms)
+        elif isinstance(query, Term):
+            self._searchable(query.field, ("text", "keyword"))
+            into.setdefault(query.field, set()).add(query.term)
+        elif isinstance(query, Phrase):
+            self._searchable(query.field)
+            if len(terms := analyze_text(query.text, self.schema[query.field].analyzer)) == 1:
+                into.setdefault(query.field, set()).update(terms)
+        elif isinstance(query, Boost):
+            self._terms_of(query.query, into)
+        elif isinstance(query, Bool):
+            for q in (*query.must, *query.should, *query.must_not):
+                self._terms_of(q, into)
+
+    def _compile(self, query: LexicalQuery, ready: tuple[DataFrame, dict] | None) -> DataFrame:
         if isinstance(query, Match):
             names = [f.name for f in self.schema.text_fields] if query.field is None else [query.field]
             parts = []
             for n in names:
                 boost = self._searchable(n)
                 if terms := Counter(analyze_text(query.text, self.schema[n].analyzer)):
-                    parts.append(self._terms(n, terms, boost))
+                    parts.append(self._terms(n, terms, boost, ready))
             return _summed(parts) if parts else self._nothing()
         if isinstance(query, Term):
-            return self._terms(query.field, {query.term: 1}, self._searchable(query.field, ("text", "keyword")))
+            return self._terms(query.field, {query.term: 1}, self._searchable(query.field, ("text", "keyword")), ready)
         if isinstance(query, Phrase):
-            return self._phrase(query)
+            return self._phrase(query, ready)
         if isinstance(query, Fuzzy):
             return self._fuzzy(query)
         if isinstance(query, Boost):
-            return self.compile(query.query).select("doc_id", (F.col("score") * F.lit(float(query.factor))).alias("score"))
+            return self._compile(query.query, ready).select("doc_id", (F.col("score") * F.lit(float(query.factor))).alias("score"))
         if isinstance(query, Bool):
-            return self._bool(query)
+            return self._bool(query, ready)
         raise InvalidQuery(f"unknown query {query!r}")
 
     def search(self, query: LexicalQuery, k: int, condition: Filter | None = None, digits: int = 12) -> DataFrame:
@@ -271,12 +316,19 @@ class LexicalIndex:
     def _nothing(self) -> DataFrame:
         return self.docs.sparkSession.createDataFrame([], "doc_id long, score double")
 
-    def _terms(self, name: str, terms: dict[str, float], boost: float) -> DataFrame:
-        spark = self.docs.sparkSession
-        rows = spark.createDataFrame([(0, t, float(n)) for t, n in terms.items()], "query_id long, term string, qtf double")
-        return self.term_scores(rows, name, boost).select("doc_id", "score")
+    def _terms(self, name: str, terms: dict[str, float], boost: float, ready: tuple[DataFrame, dict]) -> DataFrame:
+        """Summed scores of terms with how often each is asked for."""
+        postings, df = ready
+        known = {t: n for t, n in terms.items() if (name, t) in df}
+        if not known:
+            return self._nothing()
+        total, _ = self.constants[name]
+        weight = reduce(lambda rest, t: F.when(F.col("term") == t, idf(F.lit(total), F.lit(df[name, t])) * (1 + K1) * float(known[t])).otherwise(rest), known, F.lit(0.0))
+        rows = postings.where((F.col("field") == name) & F.col("term").isin(list(known))).withColumn("weight", weight)
+        scored = rows.select("doc_id", self._score(name, boost).alias("score"))
+        return scored.groupBy("doc_id").agg(F.sum("score").alias("score")) if len(known) > 1 else scored
 
-    def _phrase(self, query: Phrase) -> DataFrame:
+    def _phrase(self, query: Phrase, ready: tuple[DataFrame, dict] | None) -> DataFrame:
         boost = self._searchable(query.field)
         terms = analyze_text(query.text, self.schema[query.field].analyzer)
         if query.slop < 0:
@@ -284,7 +336,7 @@ class LexicalIndex:
         if not terms:
             return self._nothing()
         if len(terms) == 1:
-            return self._terms(query.field, {terms[0]: 1}, boost)
+            return self._terms(query.field, {terms[0]: 1}, boost, ready)
         names = sorted(set(terms))
         docs = materialise(self._places(query.field, names), "phrase")
         total, _ = self.constants[query.field]
@@ -320,8 +372,8 @@ class LexicalIndex:
         hit = F.exists(F.array_distinct("tokens"), lambda t: F.levenshtein(t, F.lit(query.term), query.distance) >= 0)
         return tokens.where(hit).select("doc_id", F.lit(float(boost)).alias("score"))
 
-    def _bool(self, query: Bool) -> DataFrame:
-        must, should, must_not = ([self.compile(q) for q in part] for part in (query.must, query.should, query.must_not))
+    def _bool(self, query: Bool, ready: tuple[DataFrame, dict] | None) -> DataFrame:
+        must, should, must_not = ([self._compile(q, ready) for q in part] for part in (query.must, query.should, query.must_not))
         if not must and not should:
             return self._nothing()
         if must:
@@ -354,6 +406,37 @@ class LexicalIndex:
         return reduce(DataFrame.unionByName, parts)
 
 
+class Constants(dict):
+    """For each text and keyword field: documents in all, and average length over all of them; worked out when asked for."""
+
+    def __init__(self, index: LexicalIndex):
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, name: str) -> tuple[int, float]:
+        self.fill([name])
+        return self[name]
+
+    def fill(self, names: Iterable[str]) -> None:
+        """Those of several fields in one pass. Stored frequencies add up to the lengths; else texts are analysed."""
+        index, names = self.index, [n for n in names if n not in self]
+        if not names:
+            return
+        fresh = [n for n in names if n not in index.extra and index.stored_postings is None]
+        # the number of tokens does not depend on stemming
+        size = {n: F.size(analyze(F.col(n), "standard")) if index.schema[n].kind == "text" else F.lit(1) for n in fresh}
+        row = index._source.agg(F.count("*").alias("__n"), *[F.sum(F.when(F.col(n).isNotNull(), size[n])).alias(n) for n in fresh]).first()
+        sums = {n: row[n] for n in fresh}
+        for n in names:
+            if n in index.extra:
+                sums[n] = index.extra[n].agg(F.sum("tf")).first()[0]
+        if stored := [n for n in names if n not in sums]:
+            rows = index.stored_postings.where(F.col("field").isin(stored)).groupBy("field").agg(F.sum("tf").alias("tf")).collect()
+            sums |= {n: 0 for n in stored} | {r["field"]: r["tf"] for r in rows}
+        for n in names:
+            self[n] = (row["__n"], (sums[n] or 0) / row["__n"] if row["__n"] else 0.0)
+
+
 def _summed(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score")) if len(parts) > 1 else parts[0]
 

@@ -61,10 +61,10 @@ def run(recipe: str | Recipe, corpus: DataFrame, queries: DataFrame, embedder: E
     lists = []
     if r.lexical:
         index = lexical_index(corpus, r.lexical, expansions if r.sparse else None)
-        scores = index.match_batch(queries)
+        terms = {f.name: index.query_terms(queries, f.name) for f in index.schema.text_fields}
         if r.sparse:
-            scores = scores.unionByName(index.term_scores(boosted_terms(sparse_terms, 1.0, False), SPARSE_FIELD)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-        lists.append(top_k(scores, r.candidate_depth))
+            terms[SPARSE_FIELD] = boosted_terms(sparse_terms, 1.0, False)
+        lists.append(top_k(index.field_scores(terms), r.candidate_depth))
     if r.dense:
         if vectors is None:
             vectors = dense.quantise(embed(corpus.select("doc_id", joined(F.col("title"), F.col("text")).alias("text")), embedder)).select("doc_id", "codes", "scale", "norm")

@@ -145,8 +145,8 @@ x_w AS (SELECT p.doc_id, p.id, ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf /
 def l14_sparse_field(spark: SparkSession, folder: str) -> DataFrame:
     index = _index(spark, folder)
     index.extra = {"_sparse": sparse_postings(expansions(spark, folder))}
-    scores = index.match_batch(asked(spark, folder), ["text"]).unionByName(index.term_scores(boosted_terms(sparse_asked(spark, folder), 1.0, False), "_sparse"))
-    return top_k(scores.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), 10, digits=6)
+    terms = {"text": index.query_terms(asked(spark, folder), "text"), "_sparse": boosted_terms(sparse_asked(spark, folder), 1.0, False)}
+    return top_k(index.field_scores(terms), 10, digits=6)
 
 
 @query(

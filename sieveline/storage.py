@@ -66,6 +66,18 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "in
     return salted.join(copies, [*keys, salt], how).drop(salt)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores by a hash of key, if it is read from fewer parts than there are cores; else df itself.
+
+    Large tables come in many parts and are left alone; a table of one small file would keep one core busy.
+    """
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def once_per_key(df: DataFrame, key: str) -> DataFrame:
     """df with one row for each key: the least row in the order of its columns. Null keys stay as they are.
 
