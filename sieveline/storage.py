@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from sieveline.errors import SchemaError
 
+#: The folder of each application that has no setting for it.
+_OWN: dict[str, str] = {}
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -20,8 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it; a local one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='sieveline-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # one process without a cluster; the setting itself can not be changed any more
+        app = spark.sparkContext.applicationId
+        folder = _OWN.setdefault(app, f"file://{tempfile.gettempdir()}/sieveline-{app}-{os.getpid()}")
     return folder.rstrip("/")
 
 

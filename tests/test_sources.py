@@ -74,7 +74,7 @@ def test_cache_works_on_missing_texts_only(spark, tmp_path):
     assert worked == [["", "a"], ["b"]]
 
 
-def test_storage_helpers(spark, monkeypatch):
+def test_storage_helpers(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(100)], "k int, v int")
     numbered = number_rows(df, ["k", "v"], 10, "n").orderBy("n").collect()
     assert [r["n"] for r in numbered] == list(range(10, 110)) and [(r["k"], r["v"]) for r in numbered] == sorted((i % 7, i) for i in range(100))
@@ -88,7 +88,15 @@ def test_storage_helpers(spark, monkeypatch):
     assert once_per_key(small, "k").count() == 2
     assert materialise(df, "t").count() == 100
     assert shared_folder(spark) == shared_folder(spark)
-    monkeypatch.undo()
-    spark.conf.set("spark.checkpoint.dir", "file:///tmp/x/")
-    assert shared_folder(spark) == "file:///tmp/x"
-    spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_shared_folder(spark):
+    class Session:
+        sparkContext = spark.sparkContext
+
+        def __init__(self, folder):
+            self.conf = type("Conf", (), {"get": lambda _, key, default: folder if key == "spark.checkpoint.dir" else default})()
+
+    assert shared_folder(Session("hdfs:///x/")) == "hdfs:///x"
+    own = shared_folder(Session(None))
+    assert own.startswith("file:///") and own == shared_folder(Session(None))
