@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.errors import SchemaError
-from sieveline.storage import attach, materialise, refuse_clash
+from sieveline.llm.topn import quoted
+from sieveline.storage import attach, materialise
 
 #: Scales a median absolute deviation to a standard deviation of normal data (fixed value).
 MAD_SCALE = 1.4826
@@ -39,24 +40,22 @@ def combine_scores(df: DataFrame, groups: Sequence[str], scores: Sequence[str],
 
     - null, NaN and infinite scores are missing. Null group values form a group of their own.
     - equal scores give equal values. Repeated rows count as often as they occur. An empty table gives an
-      empty result. A column of df named combined, or starting with two underscores, is a SchemaError.
+      empty result. Other columns are carried along whatever their names; one named combined gives way.
     """
     scores, groups = list(scores), list(groups)
     weights = [1.0] * len(scores) if weights is None else [float(w) for w in weights]
     if not scores or len(weights) != len(scores) or any(not 0 < w < float("inf") for w in weights) or missing not in ("drop", "last"):
         raise SchemaError("scores need as many positive weights, and missing is drop or last")
-    refuse_clash(df.columns, ["combined"])
-    if any(c.startswith("__") for c in df.columns):
-        raise SchemaError("columns may not start with two underscores")
-    values = [f"__v{i}" for i in range(len(scores))]
-    found = df.withColumns({v: _finite(s) for v, s in zip(values, scores)})
+    values, keys = [f"v{i}" for i in range(len(scores))], [f"k{i}" for i in range(len(groups))] or ["k0"]
+    row = F.struct(*[F.col(quoted(c)) for c in df.columns])
+    # names of its own from here on; groups are joined by value, and null is a value
+    grouped = [F.struct(F.col(quoted(g)).alias("g")).alias(k) for k, g in zip(keys, groups)] or [F.struct(F.lit(1).alias("g")).alias("k0")]
+    found = df.select(row.alias("row"), *grouped, *[_finite(quoted(c)).alias(v) for v, c in zip(values, scores)])
     some: Column = F.coalesce(*values).isNotNull()
     if missing == "drop":
         for v in values:
             some = some & F.col(v).isNotNull()
-    # groups joined by value: null is a value
-    keys = [f"__k{i}" for i in range(len(groups))] or ["__k0"]
-    found = found.where(some).withColumns({k: F.struct(F.col(g)) for k, g in zip(keys, groups)} or {"__k0": F.struct(F.lit(1))})
+    found = found.where(some)
     middle = found.groupBy(*keys).agg(*[F.percentile_approx(v, 0.5, ACCURACY).alias(f"{v}m") for v in values], *[F.min(v).alias(f"{v}l") for v in values])
     off = attach(found, materialise(middle, "medians"), keys)
     away = off.groupBy(*keys).agg(
@@ -72,4 +71,4 @@ def combine_scores(df: DataFrame, groups: Sequence[str], scores: Sequence[str],
         z = F.when(F.col(v).isNull(), z - 1.0).otherwise(z) * steepness
         z = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.coalesce(z, F.lit(0.0))))
         logs = logs - F.log1p(F.exp(-z)) * (w / sum(weights))
-    return placed.withColumn("combined", F.exp(logs)).select(*df.columns, "combined")
+    return placed.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "combined"], F.exp(logs).alias("combined"))

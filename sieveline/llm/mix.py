@@ -110,6 +110,10 @@ def calibrate(docs: DataFrame, targets: DataFrame) -> DataFrame:
     all documents with a source. Language and topic keep the shares they have in the documents of the mix's
     sources. The table of cells has a row for each class, whatever the number of documents; each mix is raked in a task.
     A source without documents has one cell without tokens.
+
+    - documents without source do not take part; language and topic are `none` where null. Documents of no tokens
+      are used like the others of their cell. Repeated rows of docs count as documents: see once_per_key.
+    - no documents: every source misses its share. No targets: an empty result. Other columns are ignored.
     """
     cells = materialise(docs.where(F.col("source").isNotNull()).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
     corpus = cells.agg(F.sum("tokens")).first()[0] or 0

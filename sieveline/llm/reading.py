@@ -130,7 +130,7 @@ def train(docs: DataFrame, ratings: DataFrame, most: int = MOST_RATED) -> LevelM
     """
     rated = ratings.where(F.col("level").isNotNull() & F.col("doc_id").isNotNull()).distinct().groupBy("doc_id", "rater").agg(F.avg("level").alias("level")).groupBy("doc_id").agg(F.avg("level").alias("__level"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.join(F.broadcast(rated), "doc_id").select("doc_id", "__level", F.coalesce(clean_source("source"), F.lit("none")).alias("__source"), "text")
+    rows = docs.select("doc_id", "source", "text").join(F.broadcast(rated), "doc_id").select("doc_id", "__level", F.coalesce(clean_source("source"), F.lit("none")).alias("__source"), "text")
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("x", T.ArrayType(T.DoubleType()))])
     found = rows.mapInArrow(partial(_measure, schema=to_arrow_schema(schema), model=None), schema).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     if len(found) < LEAST_RATED:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.storage import materialise, refuse_clash
+from sieveline.storage import materialise
 
 #: Rows from which a group is heavy, and the most groups that can be: the list of them is broadcast.
 HEAVY_ROWS, HEAVY_GROUPS = 50_000, 50_000
@@ -29,53 +30,57 @@ def top_n(df: DataFrame, groups: Sequence[str], score: str, tie: Sequence[str],
     - rows whose score is null, NaN or infinite, or whose n is null or below 1: left out.
     - null group values form a group of their own. Repeated rows are rows: dedupe first if they should
       not count; which of rows equal in score and ties gets which rank does not matter to the result.
-    - an empty table gives an empty result; a column of df named rank is a SchemaError.
+    - an empty table gives an empty result. Other columns are carried along whatever their names; one named
+      rank gives way to the rank.
     """
-    refuse_clash(df.columns, ["rank"])
     groups, tie = list(groups), list(tie)
     value = F.col(score).cast("double")
     wanted = F.col(n).cast("long") if isinstance(n, str) else F.lit(int(n)).cast("long")
-    rows = df.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & (wanted >= 1))
-    rows = rows.withColumn("__less", F.lit(0.0) - value).withColumn("__n", wanted)  # 0.0 - -0.0 is 0.0
-    order = [F.col("__less").asc(), *[F.col(t).asc_nulls_last() for t in tie]]
-    kept = [*df.columns, "rank"]
-
-    counts = rows.groupBy(*groups).agg(F.count("*").alias("__rows"), F.max("__n").alias("__most"))
-    heavy_counts = materialise(counts, "groups")
-    total, most = heavy_counts.agg(F.sum("__rows"), F.max("__most")).first()
+    by, ties = [f"g{i}" for i in range(len(groups))], [f"t{i}" for i in range(len(tie))]
+    row = F.struct(*[F.col(quoted(c)) for c in df.columns])
+    # names of its own from here on; 0.0 - -0.0 is 0.0
+    rows = df.select(row.alias("row"), *[F.col(quoted(g)).alias(b) for g, b in zip(groups, by)], *[F.col(quoted(t)).alias(b) for t, b in zip(tie, ties)], (F.lit(0.0) - value).alias("less"), wanted.alias("n"))
+    rows = rows.where(F.col("less").isNotNull() & ~F.isnan("less") & (F.abs("less") < float("inf")) & (F.col("n") >= 1))
+    order = [F.col("less").asc(), *[F.col(t).asc_nulls_last() for t in ties]]
+    kept = [*[F.col("row")[c].alias(c) for c in df.columns if c != "rank"], F.col("rank")]
+
+    counts = materialise(rows.groupBy(*by).agg(F.count("*").alias("rows"), F.max("n").alias("most")), "groups")
+    total, most = counts.agg(F.sum("rows"), F.max("most")).first()
     least = max(heavy_rows, -(-(total or 0) // HEAVY_GROUPS))
-    heavy = heavy_counts.where(F.col("__rows") >= least).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__rows")
-    same: Column = F.lit(True)
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    heavy = counts.where(F.col("rows") >= least).select(*[F.col(g).alias(f"h{g}") for g in by], "rows")
     if heavy.isEmpty():
-        return _ranked(rows, groups, order, most).select(*kept)
-    names = heavy.drop("__rows")
-    light = _ranked(rows.join(F.broadcast(names), same, "left_anti"), groups, order, most)
-    hot = rows.join(F.broadcast(heavy), same, "inner")
-    salts = F.ceil(F.col("__rows") / F.lit(salt_rows))
-    hot = hot.withColumn("__salt", F.pmod(F.xxhash64(score, *tie, F.monotonically_increasing_id() if not tie else F.lit(0)), salts))
-    survivors = _ranked(hot, [*groups, "__salt"], order, most).drop("rank", "__salt", "__rows", *[f"__g{i}" for i in range(len(groups))])
-    return light.select(*kept).unionByName(_range_ranked(survivors, groups, order).select(*kept))
-
-
-def _ranked(rows: DataFrame, groups: list[str], order: list[Column], most: int | None) -> DataFrame:
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+        return _ranked(rows, by, order, most).select(*kept)
+    same = _same(by, "h")
+    light = _ranked(rows.join(F.broadcast(heavy.drop("rows")), same, "left_anti"), by, order, most)
+    hot = rows.join(F.broadcast(heavy), same, "inner").drop(*[f"h{g}" for g in by])
+    salt = F.pmod(F.xxhash64("less", *ties) if ties else F.monotonically_increasing_id(), F.ceil(F.col("rows") / F.lit(salt_rows)))
+    survivors = _ranked(hot.withColumn("salt", salt).drop("rows"), [*by, "salt"], order, most).drop("rank", "salt")
+    return light.select(*kept).unionByName(_range_ranked(survivors, by, order).select(*kept))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _same(by: list[str], other: str) -> Column:
+    """Group values that are equal or both null."""
+    return reduce(lambda a, g: a & F.col(g).eqNullSafe(F.col(f"{other}{g}")), by, F.lit(True))
+
+
+def _ranked(rows: DataFrame, by: list[str], order: list[Column], most: int | None) -> DataFrame:
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     # the second condition, a literal, lets Spark cut each group before the shuffle
-    return ranked.where((F.col("rank") <= F.col("__n")) & (F.col("rank") <= F.lit(int(min(most or 1, 2**31 - 1)))))
+    return ranked.where((F.col("rank") <= F.col("n")) & (F.col("rank") <= F.lit(int(min(most or 1, 2**31 - 1)))))
 
 
-def _range_ranked(rows: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+def _range_ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Ranks by a sort of all rows over ranges: the place in its range plus the group's rows in the ranges before."""
-    keys = [F.col(g).asc_nulls_first() for g in groups]
-    placed = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__range", F.spark_partition_id())
+    keys = [F.col(g).asc_nulls_first() for g in by]
+    placed = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("range", F.spark_partition_id())
     placed = materialise(placed, "ranges")
-    sizes = placed.groupBy(*groups, "__range").agg(F.count("*").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__range").alias("__r"), before.alias("__before"))
-    same: Column = F.col("__range") == F.col("__r")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    own = F.row_number().over(Window.partitionBy(*groups, "__range").orderBy(*order))
-    ranked = placed.withColumn("__own", own).join(starts, same, "inner")
-    return ranked.withColumn("rank", (F.col("__own") + F.col("__before")).cast("int")).where(F.col("rank") <= F.col("__n"))
+    sizes = placed.groupBy(*by, "range").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*[F.col(g).alias(f"s{g}") for g in by], F.col("range").alias("r"), before.alias("before"))
+    own = F.row_number().over(Window.partitionBy(*by, "range").orderBy(*order))
+    ranked = placed.withColumn("own", own).join(starts, (F.col("range") == F.col("r")) & _same(by, "s"), "inner")
+    return ranked.withColumn("rank", (F.col("own") + F.col("before")).cast("int")).where(F.col("rank") <= F.col("n"))

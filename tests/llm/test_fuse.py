@@ -65,5 +65,6 @@ def test_edges(spark):
     for bad in (dict(scores=[]), dict(scores=["a"], weights=[0.0]), dict(scores=["a"], missing="x")):
         with pytest.raises(SchemaError):
             fuse.combine_scores(df, ["g"], **bad)
-    with pytest.raises(SchemaError):
-        fuse.combine_scores(df.withColumnRenamed("item", "combined"), ["g"], ["a"])
+    odd = df.selectExpr("g", "item", "a", "b", "'x' as combined", "1 as row", "2 as `v.0`", "3 as k0", "4 as v0")
+    got = {(r["g"], r["item"]): (r["combined"], r["row"], r["v.0"], r["k0"], r["v0"]) for r in fuse.combine_scores(odd, ["g"], ["a", "b"]).collect()}
+    assert got == {k: (v, 1, 2, 3, 4) for k, v in {(r["g"], r["item"]): r["combined"] for r in fuse.combine_scores(df, ["g"], ["a", "b"]).collect()}.items()}

@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from sieveline.errors import SchemaError
 from sieveline.llm import topn
 
 SCHEMA = "g string, id long, score double, k int"
@@ -48,8 +47,10 @@ def test_repeats_and_edges(spark):
     df = spark.createDataFrame([("a", 1, 1.0, 2)] * 3 + [("a", 2, 1.0, 2)], SCHEMA)
     assert made(df, "k") == [("a", 1, 1), ("a", 1, 2)]
     assert made(df, 0) == [] and made(df.limit(0), 5) == []
-    with pytest.raises(SchemaError):
-        topn.top_n(df.withColumnRenamed("k", "rank"), ["g"], "score", ["id"], 1)
+    odd = df.selectExpr("g", "id", "score", "k as rank", "1 as `less`", "2 as `row`", "3 as `a.b``c`", "cast(null as int) as g0", "id as t0")
+    for heavy in (1, 50_000):
+        got = topn.top_n(odd, ["g"], "score", ["id"], 1, heavy_rows=heavy)
+        assert [tuple(r) for r in got.collect()] == [("a", 1, 1.0, 1, 2, 3, None, 1, 1)] and got.columns[5] == "a.b`c"
 
 
 def test_heavy_group_with_equal_scores(spark):
