@@ -87,7 +87,7 @@ def once_per_key(df: DataFrame, key: str) -> DataFrame:
 
     Only the keys are shuffled to find those that repeat; whole rows move only for these.
     """
-    again = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    again = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__times")).where("__times > 1").select(key)
     again = materialise(again, "repeats")
     if again.isEmpty():
         return df
