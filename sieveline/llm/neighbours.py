@@ -23,6 +23,8 @@ SAMPLE_ROWS = 40_000
 SHARDS, FEW_ROWS, SHARD_NUMBERS = 64, 2_000, 6_400_000
 #: Shards each vector is looked up in, and vectors looked up by one task.
 PROBES, CHUNK_ROWS = 4, 20_000
+#: Numbers of the vectors that are scored again at once.
+NUMBERS_AT_ONCE = 4_000_000
 
 
 def live_vectors(steps: DataFrame, dim: int) -> DataFrame:
@@ -84,24 +86,30 @@ def _route(batches: Iterator[pa.RecordBatch], centres: np.ndarray, probes: int,
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
+    """One row with a shard's graph; it keeps the vectors as they came."""
     group = group.sort_values("id", kind="stable")
-    graph = Graph(_units(np.stack(group["vector"].to_numpy())))
-    return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "part": int(group["part"].iloc[0]), "ids": group["id"].to_numpy(np.int64).tobytes(), **graph.pack()}])
+    vectors = np.stack(group["vector"].to_numpy()).astype(np.float32)
+    row = Graph(_units(vectors)).pack() | {"vectors": vectors.tobytes()}
+    return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "part": int(group["part"].iloc[0]), "ids": group["id"].to_numpy(np.int64).tobytes(), **row}])
 
 
 def _search(queries: pd.DataFrame, index: pd.DataFrame, k: int, ef: int) -> pd.DataFrame:
-    columns = {"id": np.zeros(0, np.int64), "near": [], "score": []}
     if queries.empty or index.empty:
-        return pd.DataFrame(columns)
+        return pd.DataFrame({"id": np.zeros(0, np.int64), "near": [], "score": []})
     row = index.iloc[0]
-    graph, ids = Graph.unpack(row["vectors"], row["levels"], row["links"], row["shape"]), np.frombuffer(row["ids"], np.int64)
-    units = _units(np.stack(queries["vector"].to_numpy()))
-    found, sims = graph.search(units, k, ef)
-    # float32 is enough to walk; the answer is scored again in double precision
-    exact = np.einsum("ijk,ik->ij", graph.vectors[np.maximum(found, 0)].astype(np.float64), units)
-    near = [ids[f[f >= 0]].tolist() for f in found]
-    score = [e[f >= 0].tolist() for f, e in zip(found, exact)]
-    return pd.DataFrame({"id": queries["id"].to_numpy(np.int64), "near": near, "score": score})
+    ids = np.frombuffer(row["ids"], np.int64)
+    exact = _units(np.frombuffer(row["vectors"], np.float32).reshape(len(ids), -1))
+    graph = Graph.unpack(exact.astype(np.float32).tobytes(), row["levels"], row["links"], row["shape"])
+    near, scores, block = [], [], max(1, NUMBERS_AT_ONCE // (k * exact.shape[1]))
+    for at in range(0, len(queries), block):
+        units = _units(np.stack(queries["vector"].iloc[at : at + block].to_numpy()))
+        found, _ = graph.search(units, k, ef)
+        # single precision is enough to walk; the answer is scored again in double precision, to twelve places,
+        # so that vectors of one direction are equal to all others
+        score = np.round(np.clip(np.einsum("ijk,ik->ij", exact[np.maximum(found, 0)], units), -1.0, 1.0), 12)
+        near += [ids[f[f >= 0]].tolist() for f in found]
+        scores += [s[f >= 0].tolist() for f, s in zip(found, score)]
+    return pd.DataFrame({"id": queries["id"].to_numpy(np.int64), "near": near, "score": scores})
 
 
 def nearest(vectors: DataFrame, dim: int, k: int = 10, ef: int = 64, probes: int = PROBES) -> DataFrame:
