@@ -6,6 +6,7 @@ qrels: (query_id, doc_id, grade); run: (query_id, doc_id, rank) with doc_id as i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,12 @@ from pyspark.sql import functions as F
 from sieveline.errors import SchemaError
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """Tables of a single row each as one row."""
+    one = [r.withColumn("__one", F.lit(1)) for r in rows]
+    return reduce(lambda a, b: a.join(F.broadcast(b), "__one"), one).drop("__one")
+
+
 def distinct_run(run: DataFrame, drop_self: bool = True) -> DataFrame:
     """A run whose repeated documents count once, at their first rank; later ones move up. A document with the id of
     its query is dropped first."""
@@ -57,7 +64,7 @@ def run_summary(run: DataFrame, queries: DataFrame, qrels: DataFrame, ndcg_k: in
     unjudged = asked.join(judged, "query_id", "left_anti").agg(F.count("*").alias("unjudged"))
     unasked = judged.join(asked, "query_id", "left_anti").agg(F.count("*").alias("judged_not_run"))
     own = run.where(F.col("query_id").cast("string") == F.col("doc_id").cast("string")).agg(F.countDistinct("query_id").alias("self_hits"))
-    return scored.crossJoin(unjudged).crossJoin(unasked).crossJoin(own)  # four single rows
+    return beside(scored, unjudged, unasked, own)
 
 
 def delta(before: DataFrame, after: DataFrame, same_config: bool = True) -> DataFrame:
@@ -141,4 +148,4 @@ def build_counters(articles: DataFrame, passages: DataFrame, window: int) -> Dat
     """
     a = articles.agg(F.count("*").alias("articles"), F.count("rule").alias("excluded"), F.sum(F.col("rule").isNull().cast("long")).alias("selected"))
     p = passages.agg(F.count("*").alias("passages"), F.sum((F.col("positions") > window).cast("long")).alias("passages_over_window"), F.sum((F.col("url") != F.col("expected_url")).cast("long")).alias("url_mismatches"))
-    return a.crossJoin(p)  # two single rows
+    return beside(a, p)
