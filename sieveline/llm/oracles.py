@@ -91,8 +91,8 @@ SELECT 'results' AS origin, query_id AS group_id, id AS item_id FROM ranked WHER
 UNION ALL SELECT 'fusion', case_id, item_id FROM placed WHERE rank <= k
 """
 
-P5_FOUND = """
-WITH cases AS (
+P5 = """
+cases AS (
   SELECT DISTINCT 'fusion' AS origin, id AS case_id, lexical AS a, lexical_scores AS x, dense AS b, dense_scores AS y FROM fusion WHERE id IS NOT NULL AND expected IS NULL
   UNION
   SELECT DISTINCT 'pipeline_order', name, fused, fused_scores, fused[1:len(scores)], scores FROM pipeline_order WHERE name IS NOT NULL AND expected IS NULL AND scores IS NOT NULL
@@ -120,9 +120,10 @@ z AS (
 ),
 combined AS (
   SELECT origin, case_id, item_id, exp(-0.5 * ln(1 + exp(-greatest(-500, least(500, coalesce(zp, 0))))) - 0.5 * ln(1 + exp(-greatest(-500, least(500, coalesce(zq, 0)))))) AS c FROM z
-)
-SELECT origin, case_id, item_id FROM combined QUALIFY row_number() OVER (PARTITION BY origin, case_id ORDER BY c DESC, item_id) = 1
-"""
+)"""
+
+P5_FOUND = f"WITH {P5} SELECT origin, case_id, item_id FROM combined QUALIFY row_number() OVER (PARTITION BY origin, case_id ORDER BY c DESC, item_id) = 1"
+P5_RANKING = f"WITH {P5} SELECT origin, case_id, item_id, p + 0.0 AS first, q + 0.0 AS second, round(c, 6) AS combined FROM combined JOIN kept USING (origin, case_id, item_id)"
 
 P8_FOUND = rf"""
 WITH texts AS (SELECT DISTINCT doc_id, nfc_normalize(text) AS text FROM documents WHERE text IS NOT NULL AND split_part(lower(trim(lang)), '-', 1) = 'en'),
@@ -137,4 +138,4 @@ WHERE words >= 30 AND ((words / n >= 18 AND letters / words >= 6.0) OR (words /
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_scores": P2_SCORES, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p5_found": P5_FOUND, "p8_found": P8_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_scores": P2_SCORES, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p8_found": P8_FOUND}

@@ -117,7 +117,7 @@ def _cases(spark: SparkSession, folder: str) -> DataFrame:
     return items.groupBy("origin", "case_id", "item_id").agg(F.max(real("first")).alias("first"), F.max(real("second")).alias("second"))
 
 
-def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
+def _ranking(spark: SparkSession, folder: str) -> DataFrame:
     items = materialise(_cases(spark, folder), "cases")
     keys = ["origin", "case_id"]
     fusion = fuse.combine_scores(items.where("origin = 'fusion'"), keys, ["first", "second"], missing="last")
@@ -125,8 +125,12 @@ def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.unionByName(order)
 
 
+def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return _ranking(spark, folder).select("origin", "case_id", "item_id", (F.col("first") + 0.0).alias("first"), (F.col("second") + 0.0).alias("second"), F.round("combined", 6).alias("combined"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    ranking = materialise(p5_ranking(spark, folder), "ranking")
+    ranking = materialise(_ranking(spark, folder), "ranking")
     return topn.top_n(ranking, ["origin", "case_id"], "combined", ["item_id"], 1).select("origin", "case_id", "item_id")
 
 
