@@ -10,6 +10,7 @@ from sieveline.operators.lexical import Bool, Boost, Fuzzy, LexicalIndex, Lexica
 from sieveline.operators.sparse import boosted_terms, sparse_postings
 from sieveline.plans.common import ASKED, SCHEMA, Registry, asked, asked_terms, best, corpus, norm, postings, tokens
 from sieveline.plans.text import EXPANSIONS, expansions, sparse_asked
+from sieveline.storage import materialise
 
 registry = Registry()
 query = registry.add
@@ -144,8 +145,9 @@ x_w AS (SELECT p.doc_id, p.id, ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf /
 )
 def l14_sparse_field(spark: SparkSession, folder: str) -> DataFrame:
     index = _index(spark, folder)
-    index.extra = {"_sparse": sparse_postings(expansions(spark, folder))}
-    terms = {"text": index.query_terms(asked(spark, folder), "text"), "_sparse": boosted_terms(sparse_asked(spark, folder), 1.0, False)}
+    known = materialise(expansions(spark, folder), "expansions")
+    index.extra = {"_sparse": sparse_postings(known)}
+    terms = {"text": index.query_terms(asked(spark, folder), "text"), "_sparse": boosted_terms(sparse_asked(spark, folder, known), 1.0, False)}
     return top_k(index.field_scores(terms), 10, digits=6)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import analysis
 from sieveline.operators import chunking, sparse
 from sieveline.plans.common import ASKED, POSITIONS, Registry, asked, corpus, table, tokens
+from sieveline.storage import materialise
 
 registry = Registry()
 query = registry.add
@@ -58,9 +59,9 @@ def expansions(spark: SparkSession, folder: str) -> DataFrame:
     return weighed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("expansion"))
 
 
-def idf_table(spark: SparkSession, folder: str) -> DataFrame:
+def idf_table(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
     """(id, weight): log of documents over documents with the id, 0 for ids in every second document and more."""
-    ex = expansions(spark, folder).select("doc_id", F.explode("expansion").alias("t")).select("doc_id", F.col("t.id").alias("id"))
+    ex = (expansions(spark, folder) if known is None else known).select("doc_id", F.explode("expansion").alias("t")).select("doc_id", F.col("t.id").alias("id"))
     n = corpus(spark, folder).count()
     return ex.groupBy("id").agg(F.count("*").alias("df")).select("id", F.when(F.col("df") * 2 >= n, 0.0).otherwise(F.log(F.lit(float(n)) / F.col("df"))).alias("weight"))
 
@@ -69,8 +70,8 @@ def query_ids(spark: SparkSession, folder: str) -> DataFrame:
     return asked(spark, folder).select("query_id", F.transform(analysis.standard(F.col("text")), _id).alias("ids"))
 
 
-def sparse_asked(spark: SparkSession, folder: str) -> DataFrame:
-    return sparse.query_terms(query_ids(spark, folder), idf_table(spark, folder))
+def sparse_asked(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    return sparse.query_terms(query_ids(spark, folder), idf_table(spark, folder, known))
 
 
 SQL_ID = "(CAST('0x' || substr(md5({0}), 1, 6) AS INTEGER) % 30000 + 200)"
@@ -147,7 +148,8 @@ def _best(scores: str, k: int = 10) -> str:
 
 @query(f"WITH {ASKED}, {EXPANSIONS}, scores AS (SELECT query_id, doc_id, sum(e.weight * s.weight) AS score FROM expansions e JOIN sparse_asked s USING (id) GROUP BY ALL) {_best('scores')}")
 def x6_sparse_dot(spark: SparkSession, folder: str) -> DataFrame:
-    return _top(sparse.sparse_dot(expansions(spark, folder), sparse_asked(spark, folder)))
+    known = materialise(expansions(spark, folder), "expansions")
+    return _top(sparse.sparse_dot(known, sparse_asked(spark, folder, known)))
 
 
 @query(
@@ -159,7 +161,8 @@ scores AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.
 {_best('scores')}"""
 )
 def x7_sparse_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return _top(sparse.sparse_bm25(expansions(spark, folder), sparse_asked(spark, folder)))
+    known = materialise(expansions(spark, folder), "expansions")
+    return _top(sparse.sparse_bm25(known, sparse_asked(spark, folder, known)))
 
 
 @query(f"WITH {ASKED}, {EXPANSIONS} SELECT query_id, 's' || id AS term, round(0.5 * weight / max(weight) OVER (PARTITION BY query_id), 6) AS qtf FROM sparse_asked")
