@@ -174,15 +174,13 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 # 8: reading level
 
 
-def _levels(spark: SparkSession, folder: str) -> tuple[DataFrame, float]:
-    """Levels of the documents, and the mean level of the rated ones."""
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    model = reading.train(docs, _table(spark, folder, "reading_labels"))
-    return reading.reading_levels(docs, model), model.middle if model else 0.0
+    return reading.reading_levels(docs, reading.train(docs, _table(spark, folder, "reading_labels")))
 
 
 def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return _levels(spark, folder)[0].where("level is not null")
+    return _levels(spark, folder).where("level is not null")
 
 
 def p8_validation(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,11 +189,10 @@ def p8_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that the model places on one side of the mean and whose sentences and words lie beyond the bounds."""
-    levels, middle = _levels(spark, folder)
-    rows = levels.where("lang = 'en' and words >= 30")
-    hard = (F.col("level") >= middle - 1e-9) & (F.col("words_per_sentence") >= 18) & (F.col("letters_per_word") >= 6.0)
-    easy = (F.col("level") <= middle + 1e-9) & (F.col("words_per_sentence") <= 10) & (F.col("letters_per_word") <= 4.2)
+    """Documents whose sentences and words lie beyond the bounds, whatever level the model gives them."""
+    rows = _levels(spark, folder).where("lang = 'en' and words >= 30")
+    hard = (F.col("words_per_sentence") >= 18) & (F.col("letters_per_word") >= 6.0)
+    easy = (F.col("words_per_sentence") <= 10) & (F.col("letters_per_word") <= 4.2)
     return rows.select("doc_id", F.when(hard, "hard").when(easy, "easy").alias("band")).where("band is not null").distinct()
 
 

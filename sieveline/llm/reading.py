@@ -96,11 +96,6 @@ class LevelModel:
     knots: tuple[np.ndarray, np.ndarray]
     validation: list[tuple] = field(default_factory=list)
 
-    @property
-    def middle(self) -> float:
-        """Mean level of the rated documents."""
-        return self.trees.base
-
     def predict(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.trees.predict(x), *self.knots), *LEVELS) if len(x) else np.zeros(0)
 

@@ -67,3 +67,17 @@ def test_query_against_sql(spark, duck, sf):
     from sieveline.llm.queries import p8_found
 
     assert rows(p8_found(spark, sf)) == sql_rows(duck, P8_FOUND)
+
+
+@pytest.mark.parametrize("rated", [0, 4, 7])
+def test_bands_need_no_model(spark, tmp_path, rated):
+    """No model below 5 rated documents; one level for all, or levels on the wrong side of the mean, with few."""
+    from sieveline.llm.queries import p8_found
+
+    hard = HARD.replace(". ", " ") + HARD
+    docs = [(i, EASY * 9 if i % 2 else hard * 9, "en", "s", 0) for i in range(10)]
+    ratings = [(i, "r", 5 if i % 2 else 1) for i in range(rated)]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ratings, "doc_id long, rater string, level int").write.parquet(f"{tmp_path}/reading_labels.parquet")
+    got = {(r["doc_id"], r["band"]) for r in p8_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, "easy" if i % 2 else "hard") for i in range(10)}
