@@ -51,7 +51,7 @@ def p2_top_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     marked = p2_scores(spark, folder).where((F.col("tf") >= 3) & F.col("df").between(2, 8) & (F.length("term") >= 4) & F.col("term").rlike("^[a-z\\u00DF-\\u024F]+$"))
-    return marked.where("adjusted > 0").select("doc_id", "term")
+    return marked.select("doc_id", "term")
 
 
 # 3: similar vectors

@@ -64,3 +64,13 @@ def test_hot_key(spark):
     """A third of all rows with one key: counted once."""
     df = spark.createDataFrame([(0, "same text here")] * 300 + [(i, f"other text {'abc'[i % 3]}") for i in range(1, 600)], "doc_id long, text string")
     assert sum(k == 0 for k, _ in scored(df)) == 3
+
+
+def test_found_in_a_record_that_is_most_of_the_collection(spark, tmp_path):
+    """A term that another record dwells on far more: its residual is below 0, and it is a case all the same."""
+    from sieveline.llm.queries import p2_found, p2_scores
+
+    texts = [(1, "zebra " * 3 + "filler " * 997), (2, "zebra " * 50)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert p2_scores(spark, str(tmp_path)).where("doc_id = 1 and term = 'zebra' and adjusted < 0").count() == 1
+    assert {tuple(r) for r in p2_found(spark, str(tmp_path)).collect()} == {(1, "zebra"), (2, "zebra")}
