@@ -61,7 +61,10 @@ def cuts(strengths: list[int], most: int, overlap: int) -> list[tuple[int, int]]
     """Pieces as (first position, position after the last), each of at most `most` positions.
 
     The least number of pieces gives targets of equal length; each target moves to the strongest
-    boundary near it, the nearest of equals; a piece beyond the limit adds one piece and starts again.
+    boundary near it, the nearest of equals. Where no sentence ends near it, the whole range that the limit
+    leaves is searched for a stronger one, so that no cut is weaker than a sentence end, or a word end, that its
+    piece could have had. A piece beyond the limit, or such a cut, adds one piece and starts again. If longest
+    pieces, which enter each run without boundaries at its start, cut fewer times inside runs, they are taken.
     """
     n = len(strengths)
     if n <= most:
@@ -73,9 +76,9 @@ def cuts(strengths: list[int], most: int, overlap: int) -> list[tuple[int, int]]
         if length - 2 * reach <= overlap + 1:
             reach = 0
         if pieces := _snapped(strengths, most, overlap, count, length, reach):
-            return pieces
-        if length * 1.5 < most or count >= n:  # no nearer boundary can help: cut at the targets
-            return _snapped(strengths, most, overlap, count, length, 0) or _even(n, most, overlap)
+            return min(pieces, _longest(strengths, most, overlap), key=partial(_inside, strengths)) if _inside(strengths, pieces) else pieces
+        if length * 1.5 < most or count >= n:  # more pieces cannot help: each as long as its best boundary allows
+            return _longest(strengths, most, overlap)
         count += 1
 
 
@@ -83,20 +86,43 @@ def _snapped(strengths: list[int], most: int, overlap: int, count: int, length:
     n, start, pieces = len(strengths), 0, []
     for j in range(count - 1):
         target = round(length + j * (length - overlap))
-        low, high = max(start + overlap + 1, target - reach), min(start + most, target + reach, n - 1)
-        if low > high:
-            return []
-        end = max(range(low, high + 1), key=lambda i: (strengths[i], -abs(i - target), -i))
+        first, last = start + overlap + 1, min(start + most, n - 1)
+        low, high = max(first, target - reach), min(last, target + reach)
+
+        def best(a: int, b: int, target: int = target) -> int:
+            return max(range(a, b + 1), key=lambda i: (_kind(strengths[i]), -abs(i - target), -i))
+
+        end = max(range(low, high + 1), key=lambda i: (strengths[i], -abs(i - target), -i)) if low <= high else None
+        if end is None or strengths[end] < 2:
+            if first > last:
+                return []
+            widest = max(first, n - (count - 1 - j) * (most - overlap))  # the pieces that are left reach the end from here
+            wider = best(widest, last) if widest <= last else None
+            if wider is not None and (end is None or strengths[wider] > strengths[end]):
+                end = wider
+            if end is None or _kind(max(strengths[first : last + 1])) > _kind(strengths[end]):
+                return []
         pieces.append((start, end))
         start = end - overlap
     return [*pieces, (start, n)] if n - start <= most else []
 
 
-def _even(n: int, most: int, overlap: int) -> list[tuple[int, int]]:
-    pieces, start = [], 0
+def _kind(strength: int) -> int:
+    """A paragraph's end is a sentence's end when a wider range is searched."""
+    return min(strength, 2)
+
+
+def _inside(strengths: list[int], pieces: list[tuple[int, int]]) -> int:
+    """Cuts inside a run without boundaries."""
+    return sum(not strengths[end] for _, end in pieces[:-1])
+
+
+def _longest(strengths: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    n, start, pieces = len(strengths), 0, []
     while n - start > most:
-        pieces.append((start, start + most))
-        start += most - overlap
+        end = max(range(start + overlap + 1, start + most + 1), key=lambda i: (_kind(strengths[i]), i))
+        pieces.append((start, end))
+        start = end - overlap
     return [*pieces, (start, n)]
 
 

@@ -36,6 +36,34 @@ def test_pieces_tile_the_text(text, window, overlap):
         assert made[0][7] == max(len(POSITION.findall(s)) for s in sentences(compose(text))) + 2
 
 
+def weaker_cuts(strengths, most, overlap):
+    """Cuts inside a run though a word ended in reach, or at a word's end though a sentence did.
+
+    Cuts inside runs are as few as the lengths of the runs allow.
+    """
+    n, pieces = len(strengths), split.cuts(strengths, most, overlap)
+    assert all(0 < b - a <= most for a, b in pieces) and pieces[0][0] == 0 and pieces[-1][1] == n
+    assert all(x[1] - y[0] == overlap and y[0] > x[0] for x, y in zip(pieces, pieces[1:]))
+    stops = [overlap, *[i for i in range(overlap + 1, n) if strengths[i]], n] if n > most else []
+    assert sum(not strengths[b] for _, b in pieces[:-1]) == sum(-(-(y - x) // (most - overlap)) - 1 for x, y in zip(stops, stops[1:]))
+    return [(a, b) for a, b in pieces[:-1] if min(strengths[b], 2) < min(max(strengths[a + overlap + 1 : a + most + 1]), 2)]
+
+
+def test_no_cut_in_a_run_that_can_be_left_whole():
+    """A run of 400 positions around the middle of a text, and a sentence that ends far from it."""
+    run = [3] + [1] * 149 + [0] * 400 + [1] * 150
+    assert weaker_cuts(run, 510, 48) == [] and all(run[b] for _, b in split.cuts(run, 510, 48)[:-1])
+    far = [3] + [1] * 699
+    far[495] = 2
+    assert split.cuts(far, 510, 48)[0] == (0, 495)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 0, 1, 1, 2, 3]), st.integers(1, 70)), min_size=1, max_size=30), st.integers(5, 60), st.integers(0, 3))
+def test_no_cut_is_weaker_than_need_be(runs, most, overlap):
+    assert weaker_cuts([3] + [s for s, n in runs for _ in range(n)], most, overlap) == []
+
+
 def test_prefers_the_strongest_boundary():
     text = ("w " * 30 + "w. ") * 3 + "\n\n" + ("w " * 30 + "w. ") * 3
     pieces = split.split_text(text, 150, 0, False)
