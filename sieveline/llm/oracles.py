@@ -82,11 +82,9 @@ P4_RESULTS = f"WITH {LATEST} SELECT query_id, id, score + 0.0 AS score, CAST(ran
 P4_FOUND = f"""
 WITH {LATEST},
 cases AS (SELECT DISTINCT id AS case_id, k, expected FROM fusion WHERE id IS NOT NULL AND k >= 1 AND expected IS NOT NULL),
-items AS (SELECT case_id, k, unnest(expected) AS x FROM cases),
-placed AS (
-  SELECT case_id, k, x.id AS item_id, row_number() OVER (PARTITION BY case_id ORDER BY x.score + 0.0 DESC, x.id) AS rank
-  FROM items WHERE x.score IS NOT NULL AND isfinite(x.score) AND x.id IS NOT NULL
-)
+long AS (SELECT case_id, k, unnest(expected) AS x FROM cases),
+items AS (SELECT case_id, x.id AS item_id, max(x.score) AS score, max(k) AS k FROM long WHERE x.score IS NOT NULL AND isfinite(x.score) AND x.id IS NOT NULL GROUP BY ALL),
+placed AS (SELECT case_id, k, item_id, row_number() OVER (PARTITION BY case_id ORDER BY score + 0.0 DESC, item_id) AS rank FROM items)
 SELECT 'results' AS origin, query_id AS group_id, id AS item_id FROM ranked WHERE rank <= k
 UNION ALL SELECT 'fusion', case_id, item_id FROM placed WHERE rank <= k
 """

@@ -83,7 +83,10 @@ def p4_results(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     best = p4_results(spark, folder).select(F.lit("results").alias("origin"), F.col("query_id").alias("group_id"), F.col("id").alias("item_id"))
     cases = _table(spark, folder, "fusion").where("id is not null and k >= 1 and expected is not null").select("id", "k", "expected").distinct()
-    items = materialise(cases.select(F.col("id").alias("group_id"), "k", F.explode("expected").alias("x")).select("group_id", "k", F.col("x.id").alias("item_id"), F.col("x.score").alias("score")).where("item_id is not null"), "expected")
+    items = cases.select(F.col("id").alias("group_id"), "k", F.explode("expected").alias("x")).select("group_id", "k", F.col("x.id").alias("item_id"), F.col("x.score").alias("score"))
+    # a passage that a list repeats takes one place, by its highest finite score
+    items = items.where("item_id is not null and not isnan(score) and abs(score) < double('infinity')")
+    items = materialise(items.groupBy("group_id", "item_id").agg(F.max("score").alias("score"), F.max("k").alias("k")), "expected")
     fused = topn.top_n(items, ["group_id"], "score", ["item_id"], "k").select(F.lit("fusion").alias("origin"), "group_id", "item_id")
     return best.unionByName(fused)
 

@@ -27,3 +27,17 @@ def test_reports(spark, sf):
     assert queries()["p7_selection"](spark, sf).where("copies < 1").count() == 0
     assert queries()["p2_top_terms"](spark, sf).where("rank > 5").count() == 0
     assert queries()["p1_pieces"](spark, sf).where("piece_size > 512").count() == 0
+
+
+def test_repeated_item_takes_one_place(spark, tmp_path):
+    inf, nan = float("inf"), float("nan")
+    item = "array<struct<id:long,score:double>>"
+    cases = [
+        ("a", None, 2, [(7, 5.0), (7, 5.0), (9, 4.0), (3, 1.0)]), ("a", None, 2, [(7, 5.0), (7, 5.0), (9, 4.0), (3, 1.0)]),
+        ("b", None, 2, [(4, 1.0), (4, 3.0), (5, 2.0), (6, 2.5), (4, nan), (6, inf), (8, None), (None, 9.0)]),
+        ("c", None, 2, [(2, -0.0), (1, 0.0), (3, -1.0)]), ("d", None, 0, [(1, 1.0)]), ("e", None, None, [(1, 1.0)]), ("f", "q", 1, None),
+    ]
+    spark.createDataFrame(cases, f"id string, query_id string, k int, expected {item}").write.parquet(f"{tmp_path}/fusion.parquet")
+    spark.sql("SELECT 'q' AS query_id, id, score, TIMESTAMP'2024-01-01' AS scored_at FROM VALUES (1L, 2D), (2L, 2D), (1L, 1D) AS t(id, score)").write.parquet(f"{tmp_path}/results.parquet")
+    got = sorted(tuple(r) for r in queries()["p4_found"](spark, str(tmp_path)).collect())
+    assert got == [("fusion", "a", 7), ("fusion", "a", 9), ("fusion", "b", 4), ("fusion", "b", 6), ("fusion", "c", 1), ("fusion", "c", 2), ("results", "q", 1)]
