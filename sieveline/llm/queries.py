@@ -121,11 +121,8 @@ def _cases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranking(spark: SparkSession, folder: str) -> DataFrame:
-    items = materialise(_cases(spark, folder), "cases")
-    keys = ["origin", "case_id"]
-    fusion = fuse.combine_scores(items.where("origin = 'fusion'"), keys, ["first", "second"], missing="last")
-    order = fuse.combine_scores(items.where("origin = 'pipeline_order'"), keys, ["first", "second"], missing="drop")
-    return fusion.unionByName(order)
+    items = _cases(spark, folder).where("origin = 'fusion' or (first is not null and second is not null)")
+    return fuse.combine_scores(materialise(items, "cases"), ["origin", "case_id"], ["first", "second"], missing="last")
 
 
 def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,13 +44,10 @@ def top_n(df: DataFrame, groups: Sequence[str], score: str, tie: Sequence[str],
     order = [F.col("less").asc(), *[F.col(t).asc_nulls_last() for t in ties]]
     kept = [*[F.col("row")[c].alias(c) for c in df.columns if c != "rank"], F.col("rank")]
 
-    counts = materialise(rows.groupBy(*by).agg(F.count("*").alias("rows"), F.max("n").alias("most")), "groups")
-    total, most = counts.agg(F.sum("rows"), F.max("most")).first()
-    least = max(heavy_rows, -(-(total or 0) // HEAVY_GROUPS))
-    heavy = counts.where(F.col("rows") >= least).select(*[F.col(g).alias(f"h{g}") for g in by], "rows")
-    if heavy.isEmpty():
+    heavy, most = heavy_groups(rows, by, heavy_rows, F.max("n"))
+    if heavy is None:
         return _ranked(rows, by, order, most).select(*kept)
-    same = _same(by, "h")
+    same = same_groups(by, "h")
     light = _ranked(rows.join(F.broadcast(heavy.drop("rows")), same, "left_anti"), by, order, most)
     hot = rows.join(F.broadcast(heavy), same, "inner").drop(*[f"h{g}" for g in by])
     salt = F.pmod(F.xxhash64("less", *ties) if ties else F.monotonically_increasing_id(), F.ceil(F.col("rows") / F.lit(salt_rows)))
@@ -62,7 +59,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _same(by: list[str], other: str) -> Column:
+def heavy_groups(rows: DataFrame, by: list[str], heavy_rows: int, more: Column | None = None) -> tuple[DataFrame | None, int | None]:
+    """(h + name of each group column, rows) of the groups of heavy_rows rows and more, None if there are none, by exact
+    counts; and the greatest value of `more` over all groups. Their number is bounded by HEAVY_GROUPS."""
+    counts = materialise(rows.groupBy(*by).agg(F.count("*").alias("rows"), (F.lit(0) if more is None else more).alias("most")), "groups")
+    total, most = counts.agg(F.sum("rows"), F.max("most")).first()
+    least = max(heavy_rows, -(-(total or 0) // HEAVY_GROUPS))
+    heavy = counts.where(F.col("rows") >= least).select(*[F.col(g).alias(f"h{g}") for g in by], "rows")
+    return (None if heavy.isEmpty() else heavy), most
+
+
+def same_groups(by: list[str], other: str) -> Column:
     """Group values that are equal or both null."""
     return reduce(lambda a, g: a & F.col(g).eqNullSafe(F.col(f"{other}{g}")), by, F.lit(True))
 
@@ -82,5 +89,5 @@ def _range_ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFr
     before = F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(*[F.col(g).alias(f"s{g}") for g in by], F.col("range").alias("r"), before.alias("before"))
     own = F.row_number().over(Window.partitionBy(*by, "range").orderBy(*order))
-    ranked = placed.withColumn("own", own).join(starts, (F.col("range") == F.col("r")) & _same(by, "s"), "inner")
+    ranked = placed.withColumn("own", own).join(starts, (F.col("range") == F.col("r")) & same_groups(by, "s"), "inner")
     return ranked.withColumn("rank", (F.col("own") + F.col("before")).cast("int")).where(F.col("rank") <= F.col("n"))

@@ -1,6 +1,9 @@
 import math
+import random
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.errors import SchemaError
 from sieveline.llm import fuse
@@ -16,18 +19,12 @@ def brute(rows, missing):
         own = [r for r in keep if r[0] == g]
         total = {r[1]: 0.0 for r in own}
         for c in (2, 3):
-            values = sorted(r[c] for r in own if ok(r[c]))
-            if values:
-                middle = values[(len(values) - 1) // 2]
-                away = sorted(abs(v - middle) for v in values)
-                mad = away[(len(away) - 1) // 2]
-                spread = mad * 1.4826 if mad > 0 else sum(away) / len(away) * 1.2533
+            values = [r[c] for r in own if ok(r[c])]
+            n = len(values)
+            spread = statistics.median(abs(i - (n + 1) / 2) for i in range(1, n + 1)) * 1.4826 if n > 1 else 1.0
             for r in own:
-                z = 0.0
-                if values:
-                    z = ((r[c] if ok(r[c]) else values[0]) - middle) / spread if spread > 0 else 0.0
-                z -= 0 if ok(r[c]) else 1
-                total[r[1]] -= 0.5 * math.log1p(math.exp(-max(-500, min(500, z))))
+                place = sum(v > r[c] for v in values) + (sum(v == r[c] for v in values) + 1) / 2 if ok(r[c]) else n + 1
+                total[r[1]] -= 0.5 * math.log1p(math.exp(-((n + 1) / 2 - place) / spread))
         out |= {(g, i): math.exp(t) for i, t in total.items()}
     return out
 
@@ -36,15 +33,33 @@ ROWS = [("x", 1, 100.0, 0.1), ("x", 2, 11.0, 0.9), ("x", 3, 10.0, 0.5), ("x", 4,
         ("y", 1, 1.0, 1.0), ("y", 2, 1.0, 1.0), (None, 1, 3.0, 2.0), (None, 2, 1.0, 1e300), (None, 3, 2.0, -1e300), ("z", 9, 5.0, 5.0)]
 
 
+def many():
+    rng = random.Random(3)
+    value = lambda: rng.choice([None, float("nan"), -0.0, 0.0, *[rng.randint(-9, 9) / 4 for _ in range(9)], 1e9, rng.random()])
+    return ROWS + [(rng.choice(["hot"] * 5 + [None, "b", "c"]), 100 + i, value(), value()) for i in range(900)]
+
+
 @pytest.mark.parametrize("missing", ["drop", "last"])
-@pytest.mark.parametrize("small", [True, False])
-def test_against_brute_force(spark, missing, small, monkeypatch):
+@pytest.mark.parametrize("heavy,small", [(50_000, True), (50, True), (1, False)])
+def test_against_brute_force(spark, missing, heavy, small, monkeypatch):
     if not small:  # the salted join
         monkeypatch.setattr("sieveline.storage.is_small", lambda *a: False)
-    df = spark.createDataFrame(ROWS, SCHEMA)
-    got = {(r["g"], r["item"]): r["combined"] for r in fuse.combine_scores(df, ["g"], ["a", "b"], missing=missing).collect()}
-    want = brute(ROWS, missing)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    rows = many()
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = fuse.combine_scores(df, ["g"], ["a", "b"], missing=missing, heavy_rows=heavy).collect()
+    got = {(r["g"], r["item"]): r["combined"] for r in made}
+    want = brute(rows, missing)
+    assert len(made) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_good_in_both_beats_extreme_in_one(spark):
+    rows = [("x", 1, 1e300, 0.2)] + [("x", i, 10.0 - i, 1 - i / 20) for i in range(2, 9)]
+    assert fuse.combine_scores(spark.createDataFrame(rows, SCHEMA), ["g"], ["a", "b"]).orderBy("combined", ascending=False).first()["item"] == 2
+    # far above the middle the order still counts; first and third are as good as third and first, and better than second and fourth
+    tops = [(9.0, 7.0), (8.0, 6.5), (7.0, 9.0), (6.0, 8.0)]
+    rows = [("y", i, 1e3 * a, b) for i, (a, b) in enumerate(tops)] + [("y", 9 + i, i / 9, i / 7) for i in range(30)]
+    best = [r["item"] for r in fuse.combine_scores(spark.createDataFrame(rows, SCHEMA), ["g"], ["a", "b"]).orderBy(F.desc("combined"), "item").collect()]
+    assert best[:3] == [0, 2, 1] and best[-1] == 9
 
 
 def test_outliers_do_not_decide(spark):
