@@ -123,6 +123,11 @@ combined AS (
 P5_FOUND = f"WITH {P5} SELECT origin, case_id, item_id FROM placed QUALIFY row_number() OVER (PARTITION BY origin, case_id ORDER BY pp + qp, item_id) = 1"
 P5_RANKING = f"WITH {P5}, {P5_SPREADS} SELECT origin, case_id, item_id, p + 0.0 AS first, q + 0.0 AS second, round(c, 6) AS combined FROM combined"
 
+P7_REACHED = """
+SELECT DISTINCT mix_id, lower(trim(source)) AS source, true AS near, true AS few FROM mix_targets
+WHERE mix_id IS NOT NULL AND trim(source) <> '' AND weight > 0 AND isfinite(weight)
+"""
+
 P8_FOUND = rf"""
 WITH texts AS (SELECT DISTINCT doc_id, nfc_normalize(text) AS text FROM documents WHERE text IS NOT NULL AND split_part(lower(trim(lang)), '-', 1) = 'en'),
 {SENTENCES},
@@ -136,4 +141,4 @@ WHERE words >= 30 AND ((words / n >= 18 AND letters / words >= 6.0) OR (words /
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_scores": P2_SCORES, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p8_found": P8_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_scores": P2_SCORES, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p7_reached": P7_REACHED, "p8_found": P8_FOUND}

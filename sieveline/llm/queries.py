@@ -152,8 +152,10 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mix_docs(spark: SparkSession, folder: str) -> DataFrame:
-    docs = once_per_key(_table(spark, folder, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
-    return materialise(mix.clean_docs(bpe.count_tokens(docs, ["doc_id", "source", "lang"], "text")), "tokens")
+    docs = once_per_key(_table(spark, folder, "documents").select("doc_id", "source", "lang", "title", "text"), "doc_id")
+    docs = docs.select("doc_id", "source", "lang", mix.subject("title").alias("subject"), "text")
+    counted = materialise(bpe.count_tokens(docs, ["doc_id", "source", "lang", "subject"], "text"), "counted")
+    return materialise(mix.clean_docs(counted, "subject"), "tokens")
 
 
 def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,10 +163,27 @@ def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
     return mix.select_documents(docs, mix.calibrate(docs, _table(spark, folder, "mix_targets")))
 
 
-def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+def _mixed(spark: SparkSession, folder: str, report) -> DataFrame:
     docs = _mix_docs(spark, folder)
     cells = mix.calibrate(docs, _table(spark, folder, "mix_targets"))
-    return mix.shares(cells, mix.select_documents(docs, cells))
+    return report(cells, mix.select_documents(docs, cells))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder, mix.shares)
+
+
+def p7_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of languages and topics, wished, raked and reached."""
+    return _mixed(spark, folder, mix.margins)
+
+
+def p7_reached(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source reaches its wish, or what its cap leaves of it, within half of its longest document, in few enough copies."""
+    most = F.least(F.col("wished_tokens"), F.col("source_tokens") * F.coalesce("max_repeats", F.lit(float("inf"))))
+    near = F.abs(F.col("actual_tokens") - F.when(F.col("source_tokens") > 0, most).otherwise(0.0)) <= F.col("longest_doc") / 2 + 1
+    few = F.col("most_copies") <= F.coalesce("max_repeats", F.lit(float("inf")))
+    return p7_shares(spark, folder).select("mix_id", "source", near.alias("near"), few.alias("few"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,4 +216,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_scores, p2_top_terms, p3_found, p3_neighbours, p4_found, p4_results, p5_found, p5_ranking, p6_ids, p6_decoded, p7_found, p7_shares, p7_selection, p8_found, p8_levels, p8_validation)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_scores, p2_top_terms, p3_found, p3_neighbours, p4_found, p4_results, p5_found, p5_ranking, p6_ids, p6_decoded, p7_found, p7_shares, p7_selection, p7_margins, p7_reached, p8_found, p8_levels, p8_validation)}
