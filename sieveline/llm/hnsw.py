@@ -9,12 +9,14 @@ import numpy as np
 
 #: Numbers an array of one step may hold, which sets how many vectors walk at once.
 STEP_NUMBERS = 16_000_000
+#: Rows of a beam that are followed in one step.
+WAYS = 4
 
 
 class Graph:
     """vectors: unit rows; links[0]: for each row 2m places, -1 where empty; links[l]: m places for the rows of level l and above."""
 
-    def __init__(self, vectors: np.ndarray, m: int = 16, ef: int = 48, seed: int = 7):
+    def __init__(self, vectors: np.ndarray, m: int = 12, ef: int = 32, seed: int = 7):
         self.vectors = np.ascontiguousarray(vectors, np.float32)
         self.m, self.ef = m, ef
         n = len(self.vectors)
@@ -137,44 +139,69 @@ class Graph:
         return at
 
     def _beam(self, queries: np.ndarray, starts: np.ndarray, level: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ef best rows found for each query on one level, best first; -1 where fewer are found."""
+        """The ef best rows found for each query on one level, best first; -1 where fewer are found.
+
+        Each step follows the WAYS best rows of a beam that were not followed yet. Marks of visited rows are taken away
+        again one by one, so that a walk costs what it visits, whatever the size of the graph.
+        """
         n, b = len(self.vectors), len(queries)
         links, slot = self.links[level], self.slots[level]
-        ids = np.full((b, ef), -1, np.int64)
+        wide = links.shape[1]
+        ids = np.full((b, ef), -1, np.int32)
         sims = np.full((b, ef), -np.inf, np.float32)
-        step = max(8, min(1024, STEP_NUMBERS * 2 // max(1, n), STEP_NUMBERS // (links.shape[1] * self.vectors.shape[1])))
+        step = min(max(8, min(1024, STEP_NUMBERS * 4 // max(1, n), STEP_NUMBERS // (WAYS * wide * self.vectors.shape[1]))), max(1, b))
+        seen = np.zeros(step * (n + 1), bool)
         for at in range(0, b, step):
             q = queries[at : at + step]
             rows = np.arange(len(q))
-            seen = np.zeros((len(q), n + 1), bool)
-            seen[:, n] = True  # where empty places point
             i, s = ids[at : at + step], sims[at : at + step]
             i[:, 0] = starts[at : at + step, 0]
             s[:, 0] = np.einsum("ik,ik->i", self.vectors[i[:, 0]], q)
-            seen[rows, i[:, 0]] = True
+            marks = [rows * (n + 1) + i[:, 0]]
+            seen[marks[0]] = True
             fresh = np.zeros(i.shape, bool)
             fresh[:, 0] = True
             active = rows
             while len(active):
-                pick = fresh[active].argmax(1)  # the beam is in order, so the first fresh one is the best
-                fresh[active, pick] = False
-                near = links[slot[i[active, pick]]].astype(np.int64)
-                place = np.where(near < 0, n, near)
-                skip = seen[active[:, None], place]
-                seen[active[:, None], place] = True
-                score = np.einsum("ijk,ik->ij", self.vectors[np.maximum(near, 0)], q[active])
-                score[skip] = -np.inf
-                worth = (score > s[active, -1:]).any(1)
-                if worth.any():
-                    rows_in = active[worth]
-                    all_s = np.concatenate([s[rows_in], score[worth]], 1)
-                    by = np.argsort(-all_s, axis=1, kind="stable")[:, :ef]
-                    s[rows_in] = np.take_along_axis(all_s, by, 1)
-                    i[rows_in] = np.take_along_axis(np.concatenate([i[rows_in], near[worth]], 1), by, 1)
-                    fresh[rows_in] = np.take_along_axis(np.concatenate([fresh[rows_in], ~skip[worth]], 1), by, 1) & (s[rows_in] > -np.inf)
+                open_ = fresh[active]
+                # the beam is in order, so the first fresh ones are the best
+                first = np.argsort(~open_, axis=1, kind="stable")[:, :WAYS]
+                real = np.take_along_axis(open_, first, 1)
+                fresh[active[:, None], first] = False
+                near = links[slot[np.where(real, i[active[:, None], first], i[active, 0][:, None])]]
+                near = np.where(real[:, :, None], near, -1).reshape(len(active), -1)
+                place = active[:, None] * (n + 1) + np.where(near < 0, n, near)
+                skip = seen[place] | (near < 0)
+                seen[place] = True
+                marks.append(place[~skip])
+                # rows that two of the followed ones link count once: the later ones are told by their order
+                if WAYS > 1:
+                    skip |= _repeats(near)
+                count = (~skip).sum(1)
+                most = int(count.max(initial=0))
+                if most:
+                    packed = np.argsort(skip, axis=1, kind="stable")[:, :most]
+                    near = np.take_along_axis(near, packed, 1)
+                    lost = np.arange(most)[None] >= count[:, None]
+                    score = np.matmul(self.vectors[np.maximum(near, 0)], q[active][:, :, None])[:, :, 0]
+                    score[lost] = -np.inf
+                    worth = np.flatnonzero((score > s[active, -1:]).any(1))
+                    if len(worth):
+                        rows_in = active[worth]
+                        all_s = np.concatenate([s[rows_in], score[worth]], 1)
+                        all_i = np.concatenate([i[rows_in], near[worth]], 1)
+                        all_f = np.concatenate([fresh[rows_in], ~lost[worth]], 1)
+                        by = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
+                        part = np.take_along_axis(all_s, by, 1)
+                        by = np.take_along_axis(by, np.argsort(-part, axis=1), 1)
+                        s[rows_in] = np.take_along_axis(all_s, by, 1)
+                        i[rows_in] = np.take_along_axis(all_i, by, 1)
+                        fresh[rows_in] = np.take_along_axis(all_f, by, 1) & (s[rows_in] > -np.inf)
                 active = active[fresh[active].any(1)]
             i[s == -np.inf] = -1
-        return ids, sims
+            for m in marks:
+                seen[m] = False
+        return ids.astype(np.int64), sims
 
     def search(self, queries: np.ndarray, k: int, ef: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and similarities of the k best found for each query, best first, -1 where fewer."""
@@ -223,6 +250,17 @@ def _among(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.take_along_axis(sims, ids, 1)
 
 
+def _repeats(ids: np.ndarray) -> np.ndarray:
+    """Where a row repeats an id that stands in it before."""
+    by = np.argsort(ids, axis=1, kind="stable")
+    ordered = np.take_along_axis(ids, by, 1)
+    again = np.zeros(ids.shape, bool)
+    again[:, 1:] = ordered[:, 1:] == ordered[:, :-1]
+    out = np.empty_like(again)
+    np.put_along_axis(out, by, again, 1)
+    return out
+
+
 def _first_only(ids: np.ndarray) -> np.ndarray:
     """ids with repeats within a row turned to -1."""
     by = np.argsort(ids, axis=1, kind="stable")
