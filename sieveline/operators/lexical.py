@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sieveline.errors import InvalidQuery
 from sieveline.functions.analysis import analyze, analyze_text
 from sieveline.operators.filters import Filter, resolve
 from sieveline.operators.schema import Schema
-from sieveline.storage import is_small, materialise, spread
+from sieveline.storage import attach, is_small, materialise, spread
 
 K1, B = 1.2, 0.75
 
@@ -160,7 +158,9 @@ class LexicalIndex:
         parts = []
         for f in self.schema.fields:
             if f.indexed and f.kind in ("text", "keyword"):
-                said = self.tokens(f.name).select("doc_id", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term"))
+                # documents are exchanged whole, if at all: their tokens are counted where they arise
+                whole = self.tokens(f.name) if self._by_document else self.tokens(f.name).repartition("doc_id")
+                said = whole.select("doc_id", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term"))
                 parts.append(said.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("pos")).alias("positions")).select(F.lit(f.name).alias("field"), "*"))
         return reduce(DataFrame.unionByName, parts).select("field", "term", "doc_id", "tf", "length", "positions")
 
@@ -204,11 +204,13 @@ class LexicalIndex:
         """(query_id, doc_id, score) summed over (query_id, term, qtf) in one field."""
         return self.field_scores({name: terms}, None if boost is None else {name: boost})
 
-    def field_scores(self, terms: dict[str, DataFrame], boosts: dict[str, float] | None = None) -> DataFrame:
+    def field_scores(self, terms: dict[str, DataFrame], boosts: dict[str, float] | None = None, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score) summed over (query_id, term, qtf) in each of several fields.
 
         Only postings of these terms are made or read. They are exchanged by document once, while they are few;
-        scores of a document are then summed, and cut by a later top k, where they arise.
+        scores of a document are then summed, and cut by a later top k, where they arise. allowed: only these doc_ids
+        get scores; the statistics are those of all documents, so postings are filtered once they are counted.
+        Many terms meet the postings by a join that salts them: no task gets all postings of a frequent word.
         """
         boosts = {n: self._searchable(n, ("text", "keyword")) if boosts is None else boosts[n] for n in terms}
         self.constants.fill(terms)
@@ -227,27 +229,28 @@ class LexicalIndex:
         length = norm_length(F.col("length")) if self.quantise else F.col("length")
         average = of_field({n: self.constants[n][1] or 1.0 for n in terms})
         postings = postings.select("field", "term", "doc_id", bm25(F.col("tf"), F.lit(1.0), length, average).alias("part"))
+        if allowed is not None:
+            postings = postings.join(F.broadcast(allowed) if is_small(allowed) else allowed, "doc_id", "left_semi")
         if is_small(asked):
             # a fixed number of parts: by their bytes they look few, but each posting meets many queries
             parts_ = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            wanted, postings = F.broadcast(wanted), postings.repartition(parts_, "doc_id")
-        scored = postings.join(wanted, ["field", "term"]).select("query_id", "doc_id", (F.col("weight") * F.col("part")).alias("score"))
+            met = postings.repartition(parts_, "doc_id").join(F.broadcast(wanted), ["field", "term"])
+        else:
+            met = attach(postings, materialise(wanted, "wanted-terms"), ["field", "term"])
+        scored = met.select("query_id", "doc_id", (F.col("weight") * F.col("part")).alias("score"))
         return scored.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
-    def match_batch(self, queries: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    def match_batch(self, queries: DataFrame, fields: Sequence[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score) of every document that has a term of the query in one of the fields (all text fields)."""
         names = [f.name for f in self.schema.text_fields] if fields is None else list(fields)
         for n in names:
             self._searchable(n)
-        return self.field_scores({n: self.query_terms(queries, n) for n in names})
+        return self.field_scores({n: self.query_terms(queries, n) for n in names}, allowed=allowed)
 
     def search_batch(self, queries: DataFrame, k: int, fields: Sequence[str] | None = None, condition: Filter | None = None, digits: int = 12) -> DataFrame:
         """The k best of each query. A filter takes candidates away; scores stay those of the whole corpus."""
-        scores = self.match_batch(queries, fields)
-        if condition is not None:
-            allowed = resolve(self.docs, self.schema, condition)
-            scores = scores.join(allowed, "doc_id", "left_semi")
-        return top_k(scores, k, digits=digits)
+        allowed = None if condition is None else materialise(resolve(self.docs, self.schema, condition), "allowed")
+        return top_k(self.match_batch(queries, fields, allowed), k, digits=digits)
 
     # one query tree
 
@@ -346,7 +349,7 @@ class LexicalIndex:
         weight = reduce(lambda a, b: a + b, [idf(F.lit(total), F.lit(freqs[names.index(t)])) for t in terms]) * (1 + K1)
         full = docs.where(reduce(lambda a, b: a & b, [F.size(f"p{i}") > 0 for i in range(len(names))]))
         places = [F.col(f"p{names.index(t)}") for t in terms]
-        count = _exact_phrases(places) if query.slop == 0 else phrase_counts(query.slop)(F.array(*places))
+        count = _exact_phrases(places) if query.slop == 0 else _near_phrases(places, query.slop)
         found = full.select("doc_id", "length", count.alias("tf")).where("tf > 0").withColumn("weight", weight)
         return found.select("doc_id", self._score(query.field, boost).alias("score"))
 
@@ -452,35 +455,30 @@ def _exact_phrases(places: Sequence[Column]) -> Column:
     return F.size(F.filter(places[0], lambda x: reduce(lambda a, b: a & b, [F.array_contains(p, x + j) for j, p in rest])))
 
 
-def sloppy_count(places: list[list[int]], slop: int) -> int:
-    """Greedy count of near places: each list is shifted so that a phrase in order meets at one place.
+def _near_phrases(places: Sequence[Column], slop: int) -> Column:
+    """How often the terms stand near each other in order, give or take `slop` places.
 
-    The first two lists are walked together; a meeting takes the last place of the left one that is not behind the
-    right one. Further lists are met in the same way by the places found before.
+    Places of each term are shifted by where it stands in the phrase, so that an exact phrase meets in one place. The
+    places reached so far and those of the next term meet where they are `slop` apart at most. The next term's places are
+    taken from left to right: one that has no partner within reach is left; else it is the new place reached, and
+    its partners up to itself are used up, or the first one beyond where there is none up to itself.
     """
-    met = [p + len(places) - 1 for p in places[0]]
+    reached = places[0]
     for j, other in enumerate(places[1:], 1):
-        right = [p + len(places) - 1 - j for p in other]
-        i = r = 0
-        found = []
-        while i < len(met) and r < len(right):
-            if abs(met[i] - right[r]) <= slop:
-                while i + 1 < len(met) and met[i + 1] <= right[r]:
-                    i += 1
-                found.append(right[r])
-                i += 1
-                r += 1
-            elif met[i] < right[r]:
-                i += 1
-            else:
-                r += 1
-        met = found
-    return len(met)
-
-
-def phrase_counts(slop: int):
-    @F.pandas_udf(T.IntegerType())
-    def count(places: pd.Series) -> pd.Series:
-        return places.map(lambda p: sloppy_count([list(x) for x in p], slop)).astype("int32")
-
-    return count
+        begin = F.struct(reached.alias("open"), F.array().cast("array<int>").alias("met"))
+        shifted = F.transform(other, _less(j))
+        reached = F.aggregate(shifted, begin, lambda state, at: _meet(state, at, slop))["met"]
+    return F.size(reached)
+
+
+def _less(by: int) -> Callable[[Column], Column]:
+    return lambda x: x - by
+
+
+def _meet(state: Column, at: Column, slop: int) -> Column:
+    near = F.filter(state["open"], lambda x: x >= at - slop)
+    first = F.get(near, F.lit(0))
+    beyond = F.filter(near, lambda x: x > at)
+    left = F.when(first > at, F.slice(near, 2, F.greatest(F.size(near), F.lit(1)))).otherwise(beyond)
+    hit = F.coalesce(first <= at + slop, F.lit(False))
+    return F.struct(F.when(hit, left).otherwise(near).alias("open"), F.when(hit, F.concat(state["met"], F.array(at))).otherwise(state["met"]).alias("met"))

@@ -63,7 +63,21 @@ def l3_phrase(spark: SparkSession, folder: str) -> DataFrame:
     return _tree(spark, folder, Phrase("text", "near the"))
 
 
-@query()
+NEAR = """
+walk AS (
+  SELECT doc_id, len(toks) AS len, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = 'cat') AS reached, list_transform(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = 'door'), lambda i: i - 1) AS later, 0 AS tf
+  FROM t_said WHERE list_contains(toks, 'cat') AND list_contains(toks, 'door')
+  UNION ALL
+  SELECT doc_id, len, CASE WHEN near[1] <= here + 3 THEN CASE WHEN near[1] > here THEN near[2:] ELSE list_filter(near, lambda x: x > here) END ELSE near END, later[2:], tf + CASE WHEN near[1] <= here + 3 THEN 1 ELSE 0 END
+  FROM (SELECT *, later[1] AS here, list_filter(reached, lambda x: x >= later[1] - 3) AS near FROM walk WHERE len(later) > 0)
+),
+scores AS (
+  SELECT doc_id, (SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2) FROM t_df, t_const WHERE term IN ('cat', 'door')) * tf / (tf + 1.2 * (0.25 + 0.75 * {0} / (SELECT avg_len FROM t_const))) AS score
+  FROM walk WHERE len(later) = 0 AND tf > 0
+)"""
+
+
+@query(f"WITH RECURSIVE {TEXT}, {NEAR.format(norm('len'))} {_best('scores')}")
 def l3_phrase_slop(spark: SparkSession, folder: str) -> DataFrame:
     return _tree(spark, folder, Phrase("text", "cat door", 3))
 

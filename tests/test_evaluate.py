@@ -25,21 +25,31 @@ def brute(qrels, run):
     return out
 
 
-def big():
-    rng, pool = random.Random(8), [f"doc{i}" for i in range(300)]
+def world(seed):
+    """Random judgements and runs with everything that may go wrong: grades of 0 only, empty answers, repeats, queries that find
+    themselves, queries without judgement and judged ones that were not asked."""
+    rng, pool = random.Random(seed), [f"p{i:03}" for i in range(160)]
     qrels, run = {}, {}
-    for i in range(40):
-        qrels[f"q{i}"] = {d: rng.choice([0, 1, 1, 2]) for d in rng.sample(pool, rng.randint(1, 8))}
-        run[f"q{i}"] = rng.sample(pool, rng.randint(0, 100))
+    for i in range(rng.randint(3, 30)):
+        name = rng.choice(pool) if i % 4 == 1 else f"query-{i}"
+        if rng.random() < 0.85:
+            top = rng.choice([0, 1, 3, 4])
+            qrels[name] = {d: rng.randint(0, top) for d in rng.sample(pool, rng.randint(1, 12))} | ({name: 1} if i % 8 == 1 else {})
+        if rng.random() < 0.85:
+            found = rng.sample(pool, rng.choice([0, 1, 5, 40, 130]))
+            run[name] = found + rng.choices(found, k=len(found) // 3) if found else []
+            if i % 4 == 1:
+                run[name].insert(len(run[name]) // 2, name)
     return qrels, run
 
 
-CASES = [
-    ({"a": {"x": 2, "y": 1, "z": 0}}, {"a": ["y", "x", "z", "w"]}), ({"a": {"x": 0}, "b": {"x": 1}}, {"a": ["x"], "b": ["x"]}), ({"a": {"x": 1, "y": 1, "z": 1}}, {"a": ["y", "w", "x"]}),
-    ({"a": {"x": 1}, "b": {"x": 1}}, {"a": [], "b": ["x"]}), ({"a": {"x": 1}}, {"a": ["x"], "extra": ["x"]}), ({"a": {"x": 1}, "b": {"y": 1}}, {"a": ["x"]}),
-    ({"a": {"x": 1, "y": 1}}, {"a": ["w", "x", "x", "x", "y"]}), ({"7": {"7": 1, "x": 1}, "8": {"x": 1}}, {"7": ["7", "x", "7"], "8": ["x"]}),
-    ({"a": {"d10": 1, "d11": 1, "d100": 1}}, {"a": [f"d{i}" for i in range(1, 102)]}), big(),
-]
+CASES = [world(seed) for seed in range(6)]
+
+
+def test_worlds_hold_what_may_go_wrong():
+    runs = [(q, d, r) for qrels, run in CASES for q, d in run.items() for r in [qrels.get(q)]]
+    assert any(not d for _, d, _ in runs) and any(r is None for _, _, r in runs) and any(q in d for q, d, _ in runs) and any(len(set(d)) < len(d) for _, d, _ in runs)
+    assert any(len(set(d)) > 100 for _, d, _ in runs) and any(r and not any(r.values()) for _, _, r in runs) and any(qrels.keys() - run.keys() for qrels, run in CASES)
 
 
 @pytest.mark.parametrize("qrels,run", CASES, ids=range(len(CASES)))

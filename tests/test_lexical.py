@@ -1,12 +1,14 @@
 import math
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.errors import InvalidQuery, UnknownField
 from sieveline.functions.analysis import analyze_text
 from sieveline.operators.filters import Eq
-from sieveline.operators.lexical import Bool, Boost, Fuzzy, LexicalIndex, Match, Phrase, Term, norm_length, norm_length_of, own_fields, sloppy_count
+from sieveline.operators.lexical import Bool, Boost, Fuzzy, LexicalIndex, Match, Phrase, Term, _near_phrases, norm_length, norm_length_of, own_fields
 from sieveline.operators.schema import FieldDef, Schema
 
 SCHEMA = Schema((FieldDef("title", "text", boost=2.0), FieldDef("body", "text"), FieldDef("en", "text", analyzer="standard_en"), FieldDef("tag", "keyword"), FieldDef("note", "text", indexed=False)))
@@ -24,6 +26,20 @@ BOOSTS = {"title": 2.0, "body": 1.0, "en": 1.0, "tag": 1.0}
 COLUMNS = ["doc_id", "title", "body", "en", "tag", "note"]
 
 
+def near(tokens, terms, slop):
+    """Phrases with slop, by the rule: each place of the next term takes what it reaches."""
+    reached = [i for i, t in enumerate(tokens) if t == terms[0]]
+    for j, term in enumerate(terms[1:], 1):
+        met = []
+        for at in (i - j for i, t in enumerate(tokens) if t == term):
+            reached = [x for x in reached if at - x <= slop]
+            if reached and reached[0] - at <= slop:
+                met.append(at)
+                reached = reached[max(1, sum(x <= at for x in reached)) :]
+        reached = met
+    return len(reached)
+
+
 class Brute:
     """The scoring rules in plain Python."""
 
@@ -56,7 +72,7 @@ class Brute:
             w = sum(self.weight(q.field, t) for t in ts)
             out = {}
             for d, x in self.toks[q.field].items():
-                c = sum(x[i : i + len(ts)] == ts for i in range(len(x))) if q.slop == 0 else sloppy_count([[i for i, y in enumerate(x) if y == t] for t in ts], q.slop)
+                c = sum(x[i : i + len(ts)] == ts for i in range(len(x))) if q.slop == 0 else near(x, ts, q.slop)
                 if c:
                     out[d] = self.part(q.field, d, c, w)
             return out
@@ -70,6 +86,19 @@ class Brute:
         return {d: sum(m[d] for m in must) + sum(s.get(d, 0) for s in should) for d in keep}
 
 
+def test_phrases_with_slop_in_random_texts(spark):
+    rng, words = random.Random(4), ["cat", "door", "road", "x"]
+    texts = [" ".join(rng.choices(words, [3, 2, 2, 3], k=rng.randint(2, 60))) for _ in range(60)]
+    found = LexicalIndex(spark.createDataFrame(list(enumerate(texts)), "doc_id long, body string"), Schema((FieldDef("body", "text"),)))
+    for phrase, slop in (("cat door", 1), ("door cat road", 2), ("cat cat", 3), ("road door cat", 5)):
+        want = {i for i, t in enumerate(texts) if near(t.split(), phrase.split(), slop)}
+        assert {r["doc_id"] for r in found.compile(Phrase("body", phrase, slop)).collect()} == want
+    counts = spark.createDataFrame([([i for i, w in enumerate(t.split()) if w == "cat"], [i for i, w in enumerate(t.split()) if w == "door"], [i for i, w in enumerate(t.split()) if w == "road"], t) for t in texts], "a array<int>, b array<int>, c array<int>, t string")
+    for slop in (1, 2, 4):
+        made = counts.select(_near_phrases([F.col(x) for x in "abc"], slop).alias("n"), "t").collect()
+        assert [r["n"] for r in made] == [near(r["t"].split(), ["cat", "door", "road"], slop) for r in made]
+
+
 @pytest.fixture(scope="module")
 def index(spark):
     return LexicalIndex(spark.createDataFrame(DOCS, "doc_id long, title string, body string, en string, tag string, note string").cache(), SCHEMA)
