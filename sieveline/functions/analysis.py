@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +32,16 @@ def stem_words(words: pd.Series) -> pd.Series:
     return words.map(lambda w: known[w] if w in known else known.setdefault(w, stem(w)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_tokens(tokens: pa.Array) -> pa.Array:
+    """Each distinct token of a batch is stemmed once."""
     from sieveline.functions.porter2 import stem
 
-    known: dict[str, str] = {}
-    return tokens.map(lambda ts: None if ts is None else [known[t] if t in known else known.setdefault(t, stem(t)) for t in ts])
+    coded = tokens.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))].astype(np.int32)
+    made = pa.ListArray.from_arrays(pa.array(ends), stems)
+    return pc.if_else(tokens.is_null(), pa.scalar(None, made.type), made)
 
 
 def analyze(text: Column, analyzer: str = "standard") -> Column:

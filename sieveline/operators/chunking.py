@@ -194,6 +194,27 @@ def bound_and_merge(pieces: list[str], text: str, window: int, least: int = 16,
     return [o for o in out if o]
 
 
+def split_table(df: DataFrame, keys: list[str], text: str, splitter: Splitter, window: int, least: int = 16, cost: Cost = position_cost) -> DataFrame:
+    """keys, ordinal and passage: each text through a pluggable splitter, made fit by bound_and_merge; no shuffle.
+
+    Null and blank texts: no row. A splitter whose pieces are not the text is an error.
+    """
+    refuse_clash(keys, ["ordinal", "passage"])
+    rows = df.select(*keys, F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("ordinal int, passage string").fields])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [bound_and_merge(splitter.split(t), t, window, least, cost) for t in batch["__text"]]
+            owners = [i for i, p in enumerate(parts) for _ in p]
+            out = batch[keys].iloc[owners].reset_index(drop=True)
+            out["ordinal"] = pd.Series([j for p in parts for j in range(len(p))], dtype="int32")
+            out["passage"] = pd.Series([x for p in parts for x in p], dtype="object")
+            yield out
+
+    return rows.mapInPandas(work, schema)
+
+
 def verify_passages(passages: DataFrame, window: int, positions: Column, url_matches: Column) -> DataFrame:
     """One row of counts: passages, those above the window, those whose URL does not match."""
     return passages.agg(F.count("*").alias("passages"), F.coalesce(F.sum((positions > window).cast("long")), F.lit(0)).alias("passages_over_window"), F.coalesce(F.sum((~url_matches).cast("long")), F.lit(0)).alias("url_mismatches"))

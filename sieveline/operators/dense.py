@@ -10,13 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sieveline.errors import DimensionMismatch, InvalidQuery
+from sieveline.storage import is_small
 
 METRICS = ("cosine", "dot", "euclidean")
 TINY = 2.0**-126
-#: Queries that one scan holds; more are scanned in turns. Scores that a task holds at once.
-QUERY_BLOCK, SCORES_AT_ONCE = 2_000, 2_000_000
+#: Queries and rows that meet at once; answers that a task keeps before it lets them go.
+QUERY_BLOCK, ROW_BLOCK, ANSWERS_KEPT = 1_000, 4_000, 4_000_000
+#: Whole numbers up to here are exact in single precision.
+EXACT_SINGLE = 1 << 24
 
 
 def _folded(values: Column, step) -> Column:
@@ -108,8 +113,9 @@ def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
 def int8_scores(qcodes: np.ndarray, qscale: np.ndarray, qnorm: np.ndarray, codes: np.ndarray, scale: np.ndarray, rnorm: np.ndarray, metric: str, queries: np.ndarray) -> np.ndarray:
     if metric == "euclidean":
         return scores(queries, codes.astype(np.float32) * scale[:, None].astype(np.float32), metric).astype(np.float32).astype(np.float64)
-    # products of codes are whole numbers below 2^53, so double precision is exact
-    raw = qcodes.astype(np.float64) @ codes.astype(np.float64).T * qscale[:, None].astype(np.float64) * scale[None].astype(np.float64)
+    # products of codes are whole numbers; their sums are exact in single precision as long as they are narrow
+    kind = np.float32 if codes.shape[1] * 127 * 127 < EXACT_SINGLE else np.float64
+    raw = (qcodes.astype(kind) @ codes.astype(kind).T).astype(np.float64) * qscale[:, None].astype(np.float64) * scale[None].astype(np.float64)
     if metric == "cosine":
         raw = raw / (qnorm[:, None].astype(np.float64) * rnorm[None].astype(np.float64))
     return raw.astype(np.float32).astype(np.float64)
@@ -131,51 +137,107 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             yield batch.slice(at, most)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, metric: str, k: int, int8: bool, digits: int) -> Iterator[pa.RecordBatch]:
-    """The k best of this task for each query: what leaves a task does not grow with its rows."""
-    nq = len(ids)
-    best_s, best_i = np.full((nq, 0), 0.0), np.full((nq, 0), 0, np.int64)
-    if int8:
-        qc, qs, qn = codes_np(vectors)
-    for batch in _slices(batches, max(16, SCORES_AT_ONCE // nq)):
-        rows = batch.column(0).to_numpy(zero_copy_only=False)
-        if int8:
-            dim = vectors.shape[1]
-            codes = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            s = int8_scores(qc, qs, qn, codes, batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False), metric, vectors)
-        else:
-            s = scores(vectors, batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, vectors.shape[1]), metric)
-        s = np.round(s, digits) + 0.0
-        best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(rows, (nq, len(rows)))], 1)
-        if best_s.shape[1] > k:
-            order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-    n = best_s.shape[1]
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "doc_id", "score"])
-
-
-def knn(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: str = "cosine", int8: bool = False, allowed: DataFrame | None = None, digits: int = 9, dim: int | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best rows for each of a bounded list of queries, by a scan of all rows.
-
-    vectors: doc_id long and vector array<float>, or with int8 codes, scale and norm. Queries go to the tasks in
-    blocks; a task keeps k rows for each query, and only these are shuffled. allowed: only these doc_ids take part.
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int, int8: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Many rows (id, vector) or (id, codes, scale, norm) as one row of bytes."""
+    for batch in _slices(batches, ROW_BLOCK):
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int8 if int8 else np.float32)
+        if len(flat) != len(ids) * dim:
+            raise DimensionMismatch(f"rows do not have {dim} numbers each")
+        more = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False), np.float32).tobytes() for c in batch.columns[2:4]] if int8 else [b"", b""]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), flat.tobytes(), *more)], schema=schema)
+
+
+def _asked_blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Many queries (query_id, vector) as one row."""
+    for batch in _slices(batches, QUERY_BLOCK):
+        ends = pa.array([0, batch.num_rows], pa.int32())
+        vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, batch.column(0)).cast(schema.field(0).type), pa.array([vectors.tobytes()], pa.binary())], schema=schema)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], dim: int, metric: str, k: int, int8: bool, digits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The k best of the rows of this task for each query of each block; what a task keeps is bounded."""
+    kept: dict[tuple, list] = {}
+    size = 0
+
+    def let_go() -> Iterator[pa.RecordBatch]:
+        for names, _, best_s, best_i in kept.values():
+            n = best_s.shape[1]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), n))).cast(schema.field(0).type), pa.array(best_i.ravel()), pa.array(best_s.ravel())], schema=schema)
+        kept.clear()
+
+    for batch in batches:
+        for at in range(batch.num_rows):
+            names, packed = batch.column(0)[at].values, batch.column(1)[at].as_py()
+            key = (packed, names[0].as_py())
+            if key not in kept:
+                vectors = np.frombuffer(packed, np.float32).reshape(-1, dim)
+                kept[key] = [names, (vectors, codes_np(vectors) if int8 else None), np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)]
+            entry = kept[key]
+            vectors, coded = entry[1]
+            rows = np.frombuffer(batch.column(2)[at].as_py(), np.int64)
+            flat = np.frombuffer(batch.column(3)[at].as_py(), np.int8 if int8 else np.float32).reshape(-1, dim)
+            if int8:
+                scale, norms = (np.frombuffer(batch.column(c)[at].as_py(), np.float32) for c in (4, 5))
+                s = int8_scores(*coded, flat, scale, norms, metric, vectors)
+            else:
+                s = scores(vectors, flat, metric)
+            size -= entry[2].size
+            best_s = np.concatenate([entry[2], np.round(s, digits) + 0.0], 1)
+            best_i = np.concatenate([entry[3], np.broadcast_to(rows, s.shape)], 1)
+            if best_s.shape[1] > k:
+                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
+                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+            entry[2:] = [best_s, best_i]
+            size += best_s.size
+            if size > ANSWERS_KEPT:
+                yield from let_go()
+                size = 0
+    yield from let_go()
+
+
+def knn(vectors: DataFrame, queries: DataFrame | Sequence[tuple[int, Sequence[float]]], k: int, metric: str = "cosine", int8: bool = False, allowed: DataFrame | None = None, digits: int = 9, dim: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best rows for each query, by one scan of all rows.
+
+    vectors: doc_id long and vector array<float>, or with int8 codes, scale and norm. queries: a table (query_id,
+    vector) of any size, or a short list. Rows and queries are packed into blocks, and every block of queries meets
+    every block of rows in some task, which keeps k rows for each query; only these are shuffled. Query blocks are
+    broadcast where a count shows them to be few. allowed: only these doc_ids take part.
     Order: score, rounded to `digits`, from high to low, -0.0 as 0.0, then the smaller id.
     """
-    dim = dim or (len(queries[0][1]) if queries else 0)
-    for _, v in queries:
-        check_query(v, dim, metric)
-    if not queries or k <= 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    spark = vectors.sparkSession
+    if not isinstance(queries, DataFrame):
+        dim = dim or (len(queries[0][1]) if queries else 0)
+        for _, v in queries:
+            check_query(v, dim, metric)
+        queries = spark.createDataFrame([(int(q), [float(x) for x in v]) for q, v in queries], "query_id long, vector array<float>")
+        small = True
+    else:
+        small = is_small(queries)
+        if dim is None:
+            first = queries.select("vector").first()
+            dim = len(first[0]) if first else 0
+        good = F.size("vector") == dim
+        good = good & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        if metric == "cosine":
+            good = good & F.exists("vector", lambda x: x != 0)
+        if (bad := queries.where(~F.coalesce(good, F.lit(False))).select("vector").first()) is not None:
+            check_query([float("nan") if x is None else x for x in bad[0] or []], dim, metric)
+    kind = dict(queries.dtypes)["query_id"]
+    if not dim or k <= 0:
+        return spark.createDataFrame([], f"query_id {kind}, doc_id long, score double, rank int")
     if allowed is not None:
         vectors = vectors.join(allowed.select("doc_id"), "doc_id", "left_semi")
     rows = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), *(["codes", "scale", "norm"] if int8 else [F.col("vector").cast("array<float>").alias("vector")]))
-    found = None
-    for at in range(0, len(queries), QUERY_BLOCK):
-        block = queries[at : at + QUERY_BLOCK]
-        ids, matrix = np.array([q for q, _ in block], np.int64), np.array([v for _, v in block], np.float32)
-        part = rows.mapInArrow(partial(_scan, ids=ids, vectors=matrix, metric=metric, k=k, int8=int8, digits=digits), "query_id long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    slabs, asked = "ids binary, flat binary, scales binary, norms binary", f"names array<{kind}>, packed binary"
+    arrow = lambda ddl: to_arrow_schema(StructType.fromDDL(ddl))
+    slabs_made = rows.mapInArrow(partial(_blocks, dim=dim, int8=int8, schema=arrow(slabs)), slabs)
+    asked_made = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).mapInArrow(partial(_asked_blocks, schema=arrow(asked)), asked)
+    # each block of a stated query set meets each block of rows
+    pairs = slabs_made.crossJoin(F.broadcast(asked_made) if small else asked_made).select("names", "packed", "ids", "flat", "scales", "norms")
+    out = f"query_id {kind}, doc_id long, score double"
+    found = pairs.mapInArrow(partial(_meet, dim=dim, metric=metric, k=k, int8=int8, digits=digits, schema=arrow(out)), out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

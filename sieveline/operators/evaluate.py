@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.errors import SchemaError
+from sieveline.storage import rank_rows
 
 
 def beside(*rows: DataFrame) -> DataFrame:
@@ -20,12 +21,15 @@ def beside(*rows: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(F.broadcast(b), "__one"), one).drop("__one")
 
 
-def distinct_run(run: DataFrame, drop_self: bool = True) -> DataFrame:
+def distinct_run(run: DataFrame, drop_self: bool = True, most: int | None = None) -> DataFrame:
     """A run whose repeated documents count once, at their first rank; later ones move up. A document with the id of
-    its query is dropped first."""
+    its query is dropped first. most: only so many places are wanted, and Spark cuts the others before the exchange;
+    without it places are given over ranges, so that a run of any length is no single task's."""
     rows = run.where(F.col("query_id").cast("string") != F.col("doc_id").cast("string")) if drop_self else run
     first = rows.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id")))
+    if most is None:
+        return rank_rows(first.withColumnRenamed("rank", "__rank"), ["query_id"], [F.col("__rank"), F.col("doc_id")]).drop("__rank")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id"))).where(F.col("rank") <= most)
 
 
 def _gain(grade: Column, rank: Column) -> Column:
@@ -42,7 +46,7 @@ def query_metrics(run: DataFrame, qrels: DataFrame, ndcg_k: int = 10, recall_k:
     wanted = ideal.groupBy("query_id").agg(
         F.coalesce(F.sum(F.when((F.col("grade") > 0) & (F.col("place") <= ndcg_k), _gain(F.col("grade"), F.col("place")))), F.lit(0.0)).alias("best"), F.sum((F.col("grade") > 0).cast("long")).alias("relevant")
     )
-    hits = distinct_run(run).join(cells.where("grade > 0"), ["query_id", "doc_id"])
+    hits = distinct_run(run, most=max(ndcg_k, recall_k)).join(cells.where("grade > 0"), ["query_id", "doc_id"])
     got = hits.groupBy("query_id").agg(F.sum(F.when(F.col("rank") <= ndcg_k, _gain(F.col("grade"), F.col("rank")))).alias("gain"), F.sum((F.col("rank") <= recall_k).cast("long")).alias("found"))
     asked = run.select("query_id").distinct()
     rows = asked.join(wanted, "query_id").join(got, "query_id", "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -25,13 +26,11 @@ from sieveline.operators.lexical import LexicalIndex, LexicalQuery, own_fields,
 from sieveline.operators.protocols import Embedder, embed
 from sieveline.operators.rerank import Budget, Reranker
 from sieveline.operators.schema import SPARSE_FIELD, HybridConfig, RerankMode, Schema, SparseConfig
-from sieveline.storage import Files, is_small, materialise, number_rows
+from sieveline.storage import Files, materialise, number_and_count
 
 FORMAT = 1
 CHUNK = T.StructType([T.StructField("parent", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("byte_start", T.LongType()), T.StructField("byte_end", T.LongType())])
 EXPANSION = "array<struct<id:int,weight:float>>"
-#: Queries of one dense scan, which go to every task.
-QUERIES_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -216,11 +215,13 @@ class HybridIndex:
         )
         last = full.groupBy("external_id").agg(F.max_by(F.struct(*[c for c in full.columns if c != "external_id"]), "__order").alias("r")).select("external_id", "r.*")
         last = materialise(last, "staged")
-        empty = last.where(F.coalesce(F.trim("external_id"), F.lit("")) == "").limit(1).count()
-        bad = last.where(F.col("vector").isNotNull() & ~dense.valid_row("vector", self.descriptor["dim"], self.descriptor["metric"])).limit(1).count()
-        wrong = last.where(F.col("expansion").isNotNull() & ~sparse.valid_expansion("expansion")).limit(1).count()
-        if empty or bad or wrong:
-            raise SchemaError("empty external_id" if empty else "unusable vector" if bad else "unusable expansion")
+        nameless = F.coalesce(F.trim("external_id"), F.lit("")) == ""
+        unusable = F.col("vector").isNotNull() & ~dense.valid_row("vector", self.descriptor["dim"], self.descriptor["metric"])
+        wrong = F.col("expansion").isNotNull() & ~sparse.valid_expansion("expansion")
+        found = last.agg(*[F.coalesce(F.bool_or(c), F.lit(False)) for c in (nameless, unusable, wrong)]).first()
+        for bad, what in zip(found, ("empty external_id", "unusable vector", "unusable expansion")):
+            if bad:
+                raise SchemaError(what)
         self._staged.append(("add", last))
 
     def add_embedded(self, rows: DataFrame, order: Sequence[str] = ("external_id",)) -> None:
@@ -261,16 +262,15 @@ class HybridIndex:
             rows = reduce(DataFrame.unionByName, adds).join(last, ["external_id", "step"]).join(self._all_ids(), "external_id", "left")
             old, new = rows.where("doc_id is not null"), rows.where("doc_id is null").drop("doc_id")
             # a row that an add staged and a later delete took away also used up a number, as in one session of writes
-            numbered = number_rows(new.select("external_id", "step", "__order"), ["step", "__order"], next_id, "doc_id")
-            next_id += numbered.count()
+            numbered, fresh_ids = number_and_count(new.select("external_id", "step", "__order"), ["step", "__order"], next_id, "doc_id")
+            next_id += fresh_ids
             fresh = new.join(numbered.select("external_id", "doc_id"), "external_id")
             columns = ["external_id", "doc_id", *[f.name for f in self.config.schema.fields], "chunk", "vector", "expansion"]
             docs = materialise(old.select(*columns).unionByName(fresh.select(*columns)), "commit").withColumn("passage", joined(*[F.col(c) for c in self.config.dense_fields]))
-            written = self._write_segment(name, docs)
+            written = self._write_segment(name, docs, dead)
         else:
-            self._write_segment(name, self.spark.createDataFrame([], T.StructType([*self._doc_schema.fields, T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("expansion", T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("weight", T.FloatType())])))])))
-        dead.write.parquet(self.files.at(f"{name}/dead"))
-        died = self.spark.read.parquet(self.files.at(f"{name}/dead")).count()
+            self._write_segment(name, self.spark.createDataFrame([], T.StructType([*self._doc_schema.fields, T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("expansion", T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("weight", T.FloatType())])))])), dead)
+        died = self.spark.read.schema("doc_id long").parquet(self.files.at(f"{name}/dead")).count()
         self._publish([*self.descriptor["segments"], {"name": name, "dead": died, "rows": written}], next_id, self.descriptor["live"] - died + written, self.descriptor["rows"] + written)
         self._staged = []
         share = self.config.compact_dead_share
@@ -284,23 +284,36 @@ class HybridIndex:
         parts = [self.spark.read.parquet(self.files.at(f"{s['name']}/ids")) for s in self.descriptor["segments"]]
         return reduce(DataFrame.unionByName, parts).distinct() if parts else self.spark.createDataFrame([], "external_id string, doc_id long")
 
-    def _write_segment(self, name: str, docs: DataFrame) -> int:
+    def _write_segment(self, name: str, docs: DataFrame, dead: DataFrame) -> int:
+        """Write the tables of a segment, as jobs side by side. docs is a table."""
         keep = [f.name for f in self._doc_schema.fields]
-        docs.select(*keep).write.parquet(self.files.at(f"{name}/docs"))
-        docs.select("external_id", "doc_id").write.parquet(self.files.at(f"{name}/ids"))
-        stored = self.spark.read.schema(self._doc_schema).parquet(self.files.at(f"{name}/docs"))
-        postings = LexicalIndex(stored, self.config.schema).all_postings()
-        postings.repartition("field", "term").sortWithinPartitions("field", "term", "doc_id").write.option("parquet.bloom.filter.enabled#term", "true").parquet(self.files.at(f"{name}/postings"))
+        written, lacking = docs.agg(F.count("*"), F.count(F.when(F.col("vector").isNull(), 1))).first()
         given = docs.where("vector is not null").select("doc_id", "vector")
-        lacking = docs.where("vector is null").select("doc_id", F.coalesce("passage", F.lit("")).alias("text"))
-        if not lacking.isEmpty():
+        if lacking:
             if self.embedder is None:
                 raise ModelError("rows without vector need an embedder")
-            given = given.unionByName(embed(lacking, self.embedder, "passage"))
-        dense.quantise(given).select("doc_id", "codes", "scale", "norm").write.parquet(self.files.at(f"{name}/vectors"))
+            given = given.unionByName(embed(docs.where("vector is null").select("doc_id", F.coalesce("passage", F.lit("")).alias("text")), self.embedder, "passage"))
         blank = F.coalesce(F.trim("passage"), F.lit("")) == ""
-        docs.where(F.col("expansion").isNotNull() & ~blank).select("doc_id", "expansion").write.parquet(self.files.at(f"{name}/expansions"))
-        return stored.count()
+        # by range, so that no task gets all postings of a frequent word
+        postings = LexicalIndex(docs.select(*keep), self.config.schema).all_postings().repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
+        tables = {
+            "docs": docs.select(*keep),
+            "ids": docs.select("external_id", "doc_id"),
+            "postings": postings,
+            "vectors": dense.quantise(given).select("doc_id", "codes", "scale", "norm"),
+            "expansions": docs.where(F.col("expansion").isNotNull() & ~blank).select("doc_id", "expansion"),
+            "dead": dead,
+        }
+
+        def write(table: str) -> None:
+            writer = tables[table].write
+            if table == "postings":
+                writer = writer.option("parquet.bloom.filter.enabled#term", "true")
+            writer.parquet(self.files.at(f"{name}/{table}"))
+
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(write, tables))
+        return written
 
     def _refuse_stale(self) -> None:
         if json.loads(self.files.read("descriptor.json"))["generation"] != self.descriptor["generation"]:
@@ -340,11 +353,11 @@ class HybridIndex:
         """
         index = self.lexical()
 
-        def lexical() -> DataFrame:
+        def lexical(allowed: DataFrame | None) -> DataFrame:
             terms = {f.name: index.query_terms(queries, f.name) for f in self.config.schema.text_fields}
             if self.config.sparse and sparse_terms is not None:
                 terms[SPARSE_FIELD] = sparse.boosted_terms(sparse_terms, 1.0, False)
-            return index.field_scores(terms)
+            return index.field_scores(terms, allowed=allowed)
 
         return self._search(queries, k, condition, options, reranker, lexical)
 
@@ -352,14 +365,19 @@ class HybridIndex:
         """As search, for one query tree, with the text for the dense stage. Match over all fields leaves the sparse one out."""
         queries = self.spark.createDataFrame([("0", dense_text)], "query_id string, text string")
         tree = own_fields(query, [f.name for f in self.config.schema.text_fields])
-        return self._search(queries, k, condition, options, reranker, lambda: self.lexical().compile(tree).withColumn("query_id", F.lit("0")))
+
+        def lexical(allowed: DataFrame | None) -> DataFrame:
+            scores = self.lexical().compile(tree).withColumn("query_id", F.lit("0"))
+            return scores if allowed is None else scores.join(allowed, "doc_id", "left_semi")
+
+        return self._search(queries, k, condition, options, reranker, lexical)
 
     def two_step(self, queries: DataFrame, k: int, reranker: Reranker, condition: Filter | None = None, options: SearchOptions = SearchOptions()):
         """The fused hits first, then the re-ranked ones of the same queries."""
         yield self.search(queries, k, condition, replace(options, rerank_depth=0))
         yield self.search(queries, k, condition, options, reranker)
 
-    def _search(self, queries: DataFrame, k: int, condition: Filter | None, options: SearchOptions, reranker: Reranker | None, lexical: Callable[[], DataFrame]) -> Response:
+    def _search(self, queries: DataFrame, k: int, condition: Filter | None, options: SearchOptions, reranker: Reranker | None, lexical: Callable[[DataFrame | None], DataFrame]) -> Response:
         report, limit, clock = StageReport(), options.budget.max_time, options.elapsed
         if limit is not None and clock is None:
             report.time_limit_ignored, limit = True, None
@@ -377,13 +395,8 @@ class HybridIndex:
             allowed = materialise(resolve(self.docs, self.config.schema, condition), "allowed")
             if allowed.isEmpty():
                 return Response(nothing, report)
-            if is_small(allowed):
-                allowed = F.broadcast(allowed)
 
-        scores = lexical()
-        if allowed is not None:
-            scores = scores.join(allowed, "doc_id", "left_semi")
-        lex = top_k(scores, depth)
+        lex = top_k(lexical(allowed), depth)
         if limit is not None:
             lex = materialise(lex, "lexical")
             report.lexical_candidates = lex.count()
@@ -446,12 +459,8 @@ class HybridIndex:
     def _dense(self, queries: DataFrame, depth: int, allowed: DataFrame | None) -> DataFrame:
         if self.embedder is None:
             raise ModelError("dense search needs an embedder")
-        asked = embed(queries, self.embedder, "query", "query_id").limit(QUERIES_AT_ONCE + 1).collect()
-        if len(asked) > QUERIES_AT_ONCE:
-            raise InvalidQuery(f"more than {QUERIES_AT_ONCE} queries in a batch; split it")
-        found = dense.knn(self.vectors, [(i, r["vector"]) for i, r in enumerate(asked)], depth, self.descriptor["metric"], True, allowed, dim=self.descriptor["dim"])
-        names = self.spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], f"__q long, query_id {dict(queries.dtypes)['query_id']}")
-        return found.withColumnRenamed("query_id", "__q").join(F.broadcast(names), "__q").select("query_id", "doc_id", "score", "rank")
+        asked = materialise(embed(queries, self.embedder, "query", "query_id"), "query-vectors")
+        return dense.knn(self.vectors, asked, depth, self.descriptor["metric"], True, allowed, dim=self.descriptor["dim"])
 
     def _nothing(self, queries: DataFrame) -> DataFrame:
         return self.spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, external_id string, doc_id long, position int, score double, rerank_score double, text string, chunk {CHUNK.simpleString()}")

@@ -53,6 +53,17 @@ class HashingEmbedder:
         return out
 
 
+class LetterEmbedder:
+    """A stand-in that SQL can follow: how often each of the first `dim` small Latin letters stands in a text, plus one."""
+
+    def __init__(self, dim: int = 16, metric: str = "cosine"):
+        self.dim, self.metric, self.fingerprint = dim, metric, f"letters-{dim}-v1"
+        self.letters = "abcdefghijklmnopqrstuvwxyz"[:dim]
+
+    def embed(self, texts: Sequence[str], kind: str) -> list[list[float]]:
+        return [[float((t or "").count(c) + 1) for c in self.letters] for t in texts]
+
+
 def _embed(batches: Iterator[pd.DataFrame], embedder: Embedder, kind: str, key: str) -> Iterator[pd.DataFrame]:
     for rows in batches:
         made = embedder.embed(rows["text"].fillna("").tolist(), kind)

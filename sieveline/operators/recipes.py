@@ -15,6 +15,7 @@ from sieveline.operators.protocols import Embedder, embed
 from sieveline.operators.rerank import Reranker
 from sieveline.operators.schema import SPARSE_FIELD, FieldDef, Schema
 from sieveline.operators.sparse import boosted_terms, sparse_postings
+from sieveline.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -68,10 +69,8 @@ def run(recipe: str | Recipe, corpus: DataFrame, queries: DataFrame, embedder: E
     if r.dense:
         if vectors is None:
             vectors = dense.quantise(embed(corpus.select("doc_id", joined(F.col("title"), F.col("text")).alias("text")), embedder)).select("doc_id", "codes", "scale", "norm")
-        asked = embed(queries, embedder, "query", "query_id").collect()
-        found = dense.knn(vectors, [(i, q["vector"]) for i, q in enumerate(asked)], r.candidate_depth, embedder.metric, True, dim=embedder.dim)
-        names = corpus.sparkSession.createDataFrame([(i, q["query_id"]) for i, q in enumerate(asked)], f"__q long, query_id {dict(queries.dtypes)['query_id']}")
-        lists.append(found.withColumnRenamed("query_id", "__q").join(F.broadcast(names), "__q").select("query_id", "doc_id", "score", "rank"))
+        asked = materialise(embed(queries, embedder, "query", "query_id"), "query-vectors")
+        lists.append(dense.knn(vectors, asked, r.candidate_depth, embedder.metric, True, dim=embedder.dim))
     if len(lists) == 1:
         return lists[0].where(F.col("rank") <= r.k).select("query_id", "doc_id", "rank")
     fused = fusion.rrf(*lists, r.k, r.rrf_k)

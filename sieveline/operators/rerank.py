@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from sieveline.errors import ModelError, SchemaError
 
+#: Passages a re-ranker gets in one call.
+PASSAGES_AT_ONCE = 64
 #: Names of the features of a hit, in order (fixed values).
 FEATURES = ("lexical.score", "lexical.rank", "dense.score", "dense.rank", "fused.score", "doc.len", "query.len", "overlap.ratio")
 
@@ -50,13 +52,19 @@ def head(fused: DataFrame, depth: int) -> DataFrame:
 
 def _score_query(rows: pd.DataFrame, reranker: Reranker, budget: Budget, clock: Callable[[], float] = time.monotonic) -> pd.DataFrame:
     rows, began, found = rows.sort_values("rank", kind="stable"), clock(), []
-    for query, passage in zip(rows["query"], rows["passage"]):
-        if (budget.max_items is not None and len(found) >= budget.max_items) or (budget.max_time is not None and clock() - began >= budget.max_time):
+    most = len(rows) if budget.max_items is None else min(len(rows), budget.max_items)
+    # with a time limit the clock is asked before every passage, else the model gets many at once
+    step = PASSAGES_AT_ONCE if budget.max_time is None else 1
+    query = (rows["query"].iloc[0] or "") if len(rows) else ""
+    passages = [p or "" for p in rows["passage"]]
+    for at in range(0, most, step):
+        if budget.max_time is not None and clock() - began >= budget.max_time:
             break
-        scores = list(reranker.score(query or "", [passage or ""]))
-        if len(scores) != 1 or not np.isfinite(scores[0]):
+        part = passages[at : min(at + step, most)]
+        scores = [float(x) for x in reranker.score(query, part)]
+        if len(scores) != len(part) or not np.isfinite(scores).all():
             raise ModelError("the re-ranker gave another number of scores than passages, or one that is not finite")
-        found.append(float(scores[0]))
+        found += scores
     return rows[["query_id", "doc_id"]].assign(rerank_score=pd.Series(found + [None] * (len(rows) - len(found)), index=rows.index, dtype="object").astype("Float64"))
 
 

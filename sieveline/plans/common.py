@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sieveline.errors import SievelineError
 from sieveline.operators.schema import FieldDef, Schema
+from sieveline.storage import rank_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,13 +70,20 @@ def fused_lists(spark: SparkSession, folder: str, which: str) -> DataFrame:
     return rows.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score")).select("query_id", "doc_id", "rank", "score")
 
 
-def run_of(spark: SparkSession, folder: str, stage: str | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): results as a run, each passage with its best finite score."""
+def scored_of(spark: SparkSession, folder: str, stage: str | None = None) -> DataFrame:
+    """(query_id, doc_id, score): each passage of results with its best finite score."""
     rows = table(spark, folder, "results").where("query_id is not null and id is not null and score is not null and not isnan(score) and abs(score) < double('infinity')")
     if stage:
         rows = rows.where(F.col("stage") == stage)
-    best = rows.groupBy("query_id", F.col("id").alias("doc_id")).agg((F.max("score") + 0.0).alias("score"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return rows.groupBy("query_id", F.col("id").alias("doc_id")).agg((F.max("score") + 0.0).alias("score"))
+
+
+def run_of(spark: SparkSession, folder: str, stage: str | None = None, most: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): results as a run; most: its first places, which Spark cuts before the exchange."""
+    best, order = scored_of(spark, folder, stage), [F.desc("score"), F.asc("doc_id")]
+    if most is None:
+        return rank_rows(best, ["query_id"], order)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= most)
 
 
 def judgements(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,6 +136,32 @@ def best(scores: str, k: int, by: str = "query_id") -> str:
     return f"SELECT {by}, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY {by} ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM {scores} QUALIFY rank <= {k}"
 
 
+def codes(name: str, source: str) -> str:
+    """CTEs of which <name> has the eight-bit codes, scale and norm of the vectors v of `source`."""
+    return f"""
+{name}_v AS ({source}),
+{name}_s AS (SELECT *, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) = 0 THEN CAST(1 AS FLOAT) ELSE CAST(CAST(list_max(list_transform(v, lambda x: abs(x))) AS DOUBLE) / 127 AS FLOAT) END AS scale FROM {name}_v),
+{name}_c AS (SELECT *, list_transform(v, lambda x: CAST(greatest(-127, least(127, round(CAST(CAST(CAST(x AS DOUBLE) / CAST(scale AS DOUBLE) AS FLOAT) AS DOUBLE)))) AS TINYINT)) AS codes FROM {name}_s),
+{name} AS (SELECT *, CAST(sqrt(CAST(list_sum(list_transform(codes, lambda c: CAST(c AS BIGINT) * c)) AS DOUBLE)) * CAST(scale AS DOUBLE) AS FLOAT) AS norm FROM {name}_c)"""
+
+
+def letters(text: str, dim: int = 16) -> str:
+    """The vector that LetterEmbedder gives a text."""
+    return f"list_transform({list('abcdefghijklmnopqrstuvwxyz'[:dim])}, lambda c: CAST(len({text}) - len(replace({text}, c, '')) + 1 AS FLOAT))"
+
+
+def outcomes(spark: SparkSession, cases: dict[str, Callable[[], object]]) -> DataFrame:
+    """(case_id, error): the name of the error that each case ends in, none where it ends well."""
+    rows = []
+    for name, work in cases.items():
+        try:
+            work()
+            rows.append((name, "none"))
+        except SievelineError as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "case_id string, error string")
+
+
 RUN = """{name} AS (
   SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
     SELECT query_id, id AS doc_id, max(score) + 0.0 AS score FROM results WHERE query_id IS NOT NULL AND id IS NOT NULL AND isfinite(score) {where} GROUP BY ALL

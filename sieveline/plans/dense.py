@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.operators import dense
-from sieveline.operators.protocols import HashingEmbedder, embed
-from sieveline.plans.common import Registry, corpus, table
+from sieveline.operators.protocols import LetterEmbedder, embed
+from sieveline.plans.common import Registry, codes, corpus, letters, outcomes, table
 
 registry = Registry()
 query = registry.add
@@ -22,8 +22,8 @@ def _codes(spark: SparkSession, folder: str) -> DataFrame:
     return dense.quantise(_vectors(spark, folder))
 
 
-def _asked(spark: SparkSession, folder: str) -> list[tuple[int, list[float]]]:
-    return [(r[0], r[1]) for r in _vectors(spark, folder).where(F.col("doc_id") % 100 == 0).select("doc_id", "vector").orderBy("doc_id").collect()]
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    return _vectors(spark, folder).where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "vector")
 
 
 def _knn(spark: SparkSession, folder: str, metric: str, int8: bool = False, allowed: DataFrame | None = None) -> DataFrame:
@@ -31,11 +31,7 @@ def _knn(spark: SparkSession, folder: str, metric: str, int8: bool = False, allo
     return dense.knn(rows, _asked(spark, folder), 10, metric, int8, allowed, digits=6)
 
 
-CODES = """
-base AS (SELECT vec_id AS doc_id, CAST(embedding AS FLOAT[]) AS v, label FROM embeddings),
-scaled AS (SELECT *, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) = 0 THEN CAST(1 AS FLOAT) ELSE CAST(CAST(list_max(list_transform(v, lambda x: abs(x))) AS DOUBLE) / 127 AS FLOAT) END AS scale FROM base),
-coded AS (SELECT *, list_transform(v, lambda x: CAST(greatest(-127, least(127, round(CAST(CAST(CAST(x AS DOUBLE) / CAST(scale AS DOUBLE) AS FLOAT) AS DOUBLE)))) AS TINYINT)) AS codes FROM scaled),
-codes AS (SELECT *, CAST(sqrt(CAST(list_sum(list_transform(codes, lambda c: CAST(c AS BIGINT) * c)) AS DOUBLE)) * CAST(scale AS DOUBLE) AS FLOAT) AS norm FROM coded)"""
+CODES = codes("codes", "SELECT vec_id AS doc_id, CAST(embedding AS FLOAT[]) AS v, label FROM embeddings")
 
 
 def _knn_sql(score: str, where: str = "true") -> str:
@@ -109,6 +105,14 @@ def d13_knn_euclidean(spark: SparkSession, folder: str) -> DataFrame:
     return _knn(spark, folder, "euclidean")
 
 
-@query()
+@query(f"SELECT doc_id, {letters("coalesce(text, '')")} AS vector FROM documents")
 def d1_embed(spark: SparkSession, folder: str) -> DataFrame:
-    return embed(corpus(spark, folder), HashingEmbedder(32))
+    return embed(corpus(spark, folder), LetterEmbedder(16))
+
+
+@query("SELECT * FROM (VALUES ('wrong width', 'DimensionMismatch'), ('not finite', 'InvalidQuery'), ('no direction', 'InvalidQuery'), ('unknown metric', 'InvalidQuery'), ('k is 0', 'InvalidQuery'), ('good', 'none')) AS t(case_id, error)")
+def d10_query_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What a search says to queries it can not answer, also where k is 0."""
+    rows, good = _vectors(spark, folder), [1.0] * DIM
+    cases = {"wrong width": ([1.0], 5, "cosine"), "not finite": ([float("inf"), *good[1:]], 5, "dot"), "no direction": ([0.0] * DIM, 5, "cosine"), "unknown metric": (good, 5, "manhattan"), "k is 0": ([0.0] * DIM, 0, "cosine"), "good": (good, 0, "dot")}
+    return outcomes(spark, {name: lambda v=v, k=k, m=m: dense.knn(rows, [(0, v)], k, m, dim=DIM) for name, (v, k, m) in cases.items()})

@@ -21,7 +21,7 @@ scored_{0} AS (SELECT a.query_id, CASE WHEN best > 0 THEN coalesce(gain, 0) / be
 
 @query(f"WITH {run_sql()}, {JUDGEMENTS}, {METRICS.format('run')} SELECT query_id, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall FROM scored_run")
 def g3_ndcg_recall(spark: SparkSession, folder: str) -> DataFrame:
-    rows = evaluate.query_metrics(run_of(spark, folder), judgements(spark, folder))
+    rows = evaluate.query_metrics(run_of(spark, folder, most=101), judgements(spark, folder))
     return rows.select("query_id", F.round("ndcg", 6).alias("ndcg"), F.round("recall", 6).alias("recall"))
 
 
@@ -58,13 +58,13 @@ SELECT round(avg(coalesce(ndcg, 0)), 6) AS ndcg, round(avg(coalesce(recall, 0)),
 FROM asked JOIN js USING (query_id) LEFT JOIN scored_run USING (query_id)"""
 )
 def g7_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return _summary(run_of(spark, folder), spark, folder).withColumns({c: F.round(c, 6) for c in ("ndcg", "recall")})
+    return _summary(run_of(spark, folder, most=101), spark, folder).withColumns({c: F.round(c, 6) for c in ("ndcg", "recall")})
 
 
 def _report(spark: SparkSession, folder: str, stage: str, config: str) -> DataFrame:
     """(config, dataset, metric, value): the two metrics of the queries of each length, as data sets."""
     sizes = table(spark, folder, "queries").where("text is not null").groupBy("query_id").agg(F.min(F.length("text") % 3).alias("g")).select("query_id", F.concat(F.lit("set"), F.col("g").cast("string")).alias("dataset"))
-    rows = evaluate.query_metrics(run_of(spark, folder, stage), judgements(spark, folder)).join(sizes, "query_id")
+    rows = evaluate.query_metrics(run_of(spark, folder, stage, 101), judgements(spark, folder)).join(sizes, "query_id")
     means = rows.groupBy("dataset").agg(F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"))
     return means.unpivot("dataset", ["ndcg", "recall"], "metric", "value").select(F.lit(config).alias("config"), "dataset", "metric", "value")
 
@@ -116,7 +116,7 @@ def g13_latencies(spark: SparkSession, folder: str) -> DataFrame:
 SELECT query_id, round(len(list_intersect(coalesce(x.l, []), coalesce(y.l, []))) / len(list_distinct(list_concat(coalesce(x.l, []), coalesce(y.l, [])))), 6) AS jaccard FROM x FULL OUTER JOIN y USING (query_id)"""
 )
 def g14_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.jaccard(run_of(spark, folder, "lexical"), run_of(spark, folder, "dense")).withColumn("jaccard", F.round("jaccard", 6))
+    return evaluate.jaccard(run_of(spark, folder, "lexical", 10), run_of(spark, folder, "dense", 10)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.operators import fusion, rerank
-from sieveline.plans.common import JUDGEMENTS, Registry, fused_lists, judgements, list_sql, run_of, run_sql, table, tokens
+from sieveline.plans.common import JUDGEMENTS, Registry, fused_lists, judgements, list_sql, run_of, run_sql, scored_of, table, tokens
 
 registry = Registry()
 query = registry.add
@@ -36,7 +36,7 @@ def j1_rrf(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {run_sql('run', 'lexical')} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM run WHERE rank <= 10")
 def j2_degraded(spark: SparkSession, folder: str) -> DataFrame:
-    return fusion.degraded(run_of(spark, folder, "lexical"), 10)
+    return fusion.degraded(run_of(spark, folder, "lexical", 10), 10)
 
 
 @query(f"WITH {LISTS}, {FUSED} SELECT query_id, doc_id, CAST(lexical_rank AS INTEGER) AS lexical_rank, lexical_score, CAST(dense_rank AS INTEGER) AS dense_rank, dense_score, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM ranked")
@@ -49,7 +49,7 @@ KNOWN = "SELECT r.query_id, r.doc_id, r.score, CAST(r.rank AS INTEGER) AS rank{0
 
 def _known_hits(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id")
-    return run_of(spark, folder).where("rank <= 100").join(docs, "doc_id", "left_semi")
+    return run_of(spark, folder, most=100).join(docs, "doc_id", "left_semi")
 
 
 @query(f"WITH {run_sql()} {KNOWN.format(', d.external_id')}")
@@ -69,7 +69,7 @@ SELECT query_id, doc_id, CAST(x.r AS INTEGER) AS before, CAST(y.r AS INTEGER) AS
 FROM x FULL OUTER JOIN y USING (query_id, doc_id)"""
 )
 def j6_movement(spark: SparkSession, folder: str) -> DataFrame:
-    return fusion.movement(*[run_of(spark, folder, s).where("rank <= 20") for s in ("lexical", "dense")])
+    return fusion.movement(*[run_of(spark, folder, s, 20) for s in ("lexical", "dense")])
 
 
 @query(
@@ -89,7 +89,7 @@ SELECT query_id, doc_id, round(score, 9) AS score, CAST(row_number() OVER (PARTI
 )
 def x8_three_way_rrf(spark: SparkSession, folder: str) -> DataFrame:
     cases = table(spark, folder, "fusion").where("id is not null").select("id", "query_id").distinct()
-    mine = run_of(spark, folder).where("rank <= 100").join(cases, "query_id").select(F.col("id").alias("query_id"), "doc_id", "rank")
+    mine = run_of(spark, folder, most=100).join(cases, "query_id").select(F.col("id").alias("query_id"), "doc_id", "rank")
     return fusion.rrf_many([*_lists(spark, folder), mine], 20).withColumn("score", F.round("score", 9))
 
 
@@ -162,7 +162,7 @@ def r2_budget_items(spark: SparkSession, folder: str) -> DataFrame:
     from sieveline.plans.common import asked
 
     docs, queries = table(spark, folder, "documents").select("doc_id", "text"), asked(spark, folder)
-    known = run_of(spark, folder).join(docs.select("doc_id"), "doc_id", "left_semi").join(queries.select("query_id"), "query_id", "left_semi")
+    known = scored_of(spark, folder).join(docs.select("doc_id"), "doc_id", "left_semi").join(queries.select("query_id"), "query_id", "left_semi")
     fused = known.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 20")
     scored = rerank.score_head(fused, queries, docs, 10, rerank.OverlapReranker(), rerank.Budget(max_items=5))
     return scored.select("query_id", "doc_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
@@ -203,5 +203,5 @@ heads AS (SELECT t.query_id, t.doc_id, t.rank, t.score, CASE WHEN t.rank <= 10 T
 def r12_rerank_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Grades stand for the scores kept from before; the others are made by a rule."""
     known = judgements(spark, folder).select("query_id", "doc_id", F.col("grade").cast("double").alias("rerank_score"))
-    ordered, _ = rerank.rerank_runs(run_of(spark, folder, "lexical"), run_of(spark, folder, "dense"), known, lambda pairs: pairs.withColumn("rerank_score", 0.5 * (F.col("doc_id") % 7)), 100, 10, 20, 0.5)
+    ordered, _ = rerank.rerank_runs(run_of(spark, folder, "lexical", 100), run_of(spark, folder, "dense", 100), known, lambda pairs: pairs.withColumn("rerank_score", 0.5 * (F.col("doc_id") % 7)), 100, 10, 20, 0.5)
     return ordered.select("query_id", "doc_id", F.round("combined", 6).alias("combined"), "position")

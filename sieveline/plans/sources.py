@@ -13,7 +13,7 @@ from sieveline.operators.fusion import explain, with_passages
 from sieveline.plans.common import JUDGEMENTS, Registry, fused_lists, judgements, list_sql, run_of, run_sql, table
 from sieveline.plans.fusion import FUSED
 from sieveline.sources import articles, datasets
-from sieveline.storage import shared_folder
+from sieveline.storage import Files, shared_folder
 
 registry = Registry()
 query = registry.add
@@ -102,7 +102,7 @@ def s10_cache(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {run_sql('run', 'lexical')} SELECT query_id, list(CAST(doc_id AS VARCHAR) ORDER BY rank) AS doc_ids FROM run WHERE rank <= 20 GROUP BY query_id")
 def s11_run(spark: SparkSession, folder: str) -> DataFrame:
     path = _place(spark, "run")
-    datasets.write_run(run_of(spark, folder, "lexical").where("rank <= 20"), path)
+    datasets.write_run(run_of(spark, folder, "lexical", 20), path)
     return datasets.run_lists(datasets.read_run(spark, path))
 
 
@@ -116,10 +116,48 @@ def s12_explain(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {run_sql()} SELECT query_id, doc_id, coalesce(text, '') AS text FROM run LEFT JOIN documents USING (doc_id) WHERE rank <= 5")
 def s14_passages(spark: SparkSession, folder: str) -> DataFrame:
-    hits = run_of(spark, folder).where("rank <= 5").select("query_id", "doc_id")
+    hits = run_of(spark, folder, most=5).select("query_id", "doc_id")
     return with_passages(hits, table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 50) = 0 ORDER BY vec_id LIMIT 50")
 def s16_vector_sample(spark: SparkSession, folder: str) -> DataFrame:
     return datasets.vector_sample(table(spark, folder, "embeddings"), "vec_id", 50).select("vec_id", "label")
+
+
+@query("SELECT * FROM (VALUES ('bytes.txt', false), ('gone.txt', false), ('good.txt', true), ('hash.txt', false)) AS t(name, ok)")
+def s4_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Files against a manifest of bytes and hashes: one that is there, one of another size, one of other content, one that is missing."""
+    import hashlib
+
+    path = _place(spark, "files")
+    files, text = Files(spark, path), "doc\tgrade\n"
+    for name in ("good.txt", "bytes.txt", "hash.txt"):
+        files.write(name, text)
+    entry = lambda t: {"bytes": len(t), "sha256": hashlib.sha256(t.encode()).hexdigest()}
+    manifest = {"files": {"good.txt": entry(text), "bytes.txt": entry(text + "x"), "hash.txt": entry(text.upper()), "gone.txt": entry(text)}}
+    return datasets.verify_table(spark, path, manifest)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents WHERE doc_id IS NOT NULL")
+def s1_several_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions over several files of different size follow the names of the files, whatever the order Spark reads them in."""
+    path = _place(spark, "several")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.lit("").alias("title"), F.substring("text", 1, 20).alias("text"), "doc_id").where("doc_id is not null")
+    third = docs.agg(F.max("doc_id")).first()[0] // 6 + 1
+    for name, rows in (("a", docs.where(F.col("doc_id") < third)), ("b", docs.where((F.col("doc_id") >= third) & (F.col("doc_id") < 4 * third))), ("c", docs.where(F.col("doc_id") >= 4 * third))):
+        rows.orderBy("doc_id").drop("doc_id").coalesce(1).write.json(f"{path}/part={name}")
+    placed = datasets.read_corpus(spark, f"{path}/part=*", positions=True)
+    return placed.select(F.col("external_id").cast("long").alias("doc_id"), F.col("doc_id").alias("place"))
+
+
+@query("SELECT 2 AS hits, true AS same, true AS bits, false AS after_change")
+def s15_golden_response(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical form of a response: the same for the same hits, and another one where a score moves by its last bit."""
+    import json
+    import math
+
+    hits = [{"external_id": "a#0", "score": 0.1 + 0.2}, {"external_id": "b#1", "score": 0.25}]
+    first, again = datasets.golden_response(hits), datasets.golden_response([dict(reversed(h.items())) for h in hits])
+    moved = datasets.golden_response([{**hits[0], "score": math.nextafter(hits[0]["score"], 1)}, hits[1]])
+    return spark.createDataFrame([(len(json.loads(first)), first == again, json.loads(first)[1]["score"] == "3fd0000000000000", first == moved)], "hits int, same boolean, bits boolean, after_change boolean")

@@ -198,11 +198,45 @@ def _one(text: str) -> int:
     return 1
 
 
-@query()
-def c6_article_documents(spark: SparkSession, folder: str) -> DataFrame:
+WHITE = "[\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _articles(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), "text")
-    made = chunking.article_documents(docs)
-    return made.select("external_id", "title", "text", "chunk.parent", "chunk.ordinal", "chunk.byte_start", "chunk.byte_end")
+    return chunking.article_documents(docs).select("external_id", "title", "text", "chunk.parent", "chunk.ordinal", "chunk.byte_start", "chunk.byte_end")
+
+
+@query(rf"SELECT CAST(doc_id AS VARCHAR) AS parent, true AS numbered, true AS placed, true AS titled, length(regexp_replace(text, '[{WORDS[2:-2]}]', '', 'g')) AS signs FROM documents WHERE len(regexp_extract_all(text, '{WORDS}')) > 0")
+def c6_article_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each article: its passages are numbered through, stand in its bytes one after the other, begin with its title, and hold its signs."""
+    from pyspark.sql import Window
+
+    made, docs = _articles(spark, folder), table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("parent"), F.octet_length("text").alias("bytes"))
+    body = F.substr(F.col("text"), F.length("title") + 3)
+    signs = F.length(F.regexp_replace(body, WHITE, "")).cast("long")
+    before = F.coalesce(F.lag("byte_end").over(Window.partitionBy("parent").orderBy("ordinal")), F.lit(0))
+    good = (F.col("byte_start") >= before) & (F.col("byte_end") > F.col("byte_start")) & (F.col("external_id") == F.concat("parent", F.lit("#"), F.col("ordinal").cast("string")))
+    rows = made.withColumn("good", good).withColumn("own", F.startswith(F.col("text"), F.concat("title", F.lit("\n\n")))).withColumn("signs", signs)
+    each = rows.groupBy("parent").agg((F.max("ordinal") + 1 == F.count("*")).alias("numbered"), F.bool_and("good").alias("good"), F.max("byte_end").alias("last"), F.bool_and("own").alias("titled"), F.sum("signs").alias("signs"))
+    return each.join(docs, "parent").select("parent", "numbered", (F.col("good") & (F.col("last") <= F.col("bytes"))).alias("placed"), "titled", "signs")
+
+
+class _Stops:
+    """A stand-in splitter: pieces end behind every full stop."""
+
+    def split(self, text: str) -> list[str]:
+        import re
+
+        return re.findall(r"[^.]*\.|[^.]+$", text)
+
+
+@query(rf"SELECT doc_id, true AS bounded, length(regexp_replace(text, '[{WORDS[2:-2]}]', '', 'g')) AS letters FROM documents WHERE len(regexp_extract_all(text, '{WORDS}')) > 0")
+def c7_split_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """A splitter's pieces made fit: none is above the window, and together they hold every sign of the text."""
+    made = chunking.split_table(table(spark, folder, "documents"), ["doc_id"], "text", _Stops(), 64)
+    cost = F.size(F.regexp_extract_all("passage", F.lit(r"[\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}\s]"), F.lit(0)))
+    signs = F.length(F.regexp_replace("passage", WHITE, "")).cast("long")
+    return made.groupBy("doc_id").agg(F.bool_and(cost <= 64).alias("bounded"), F.sum(signs).alias("letters"))
 
 
 @query(f"SELECT count(*) AS passages, CAST(sum(CAST({POSITIONS} > 512 AS INTEGER)) AS BIGINT) AS passages_over_window, CAST(0 AS BIGINT) AS url_mismatches FROM documents")

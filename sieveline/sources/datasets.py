@@ -7,7 +7,7 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.errors import Corrupt, SchemaError
@@ -17,14 +17,21 @@ from sieveline.storage import number_rows
 def read_corpus(spark: SparkSession, path: str, positions: bool = False) -> DataFrame:
     """(external_id, title, text) of JSON lines {_id, title, text}; missing title or text is empty, blank lines are skipped.
 
-    positions: also doc_id, the place of the row in the files.
+    positions: also doc_id, the place of the row in the files, which follow each other by name.
     """
     rows = spark.read.schema("_id string, title string, text string").option("mode", "FAILFAST").json(path)
-    rows = rows.select(F.col("_id").alias("external_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    if positions:
+        rows = rows.select("*", *_place())
+    rows = rows.select(*(["__file", "__block", "__at"] if positions else []), F.col("_id").alias("external_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
     if not positions:
         return rows
-    placed = rows.withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
-    return number_rows(placed, ["at"], 0, "doc_id").drop("file", "at")
+    return number_rows(rows, ["__file", "__block", "__at"], 0, "doc_id").drop("__file", "__block", "__at")
+
+
+def _place() -> list[Column]:
+    """Where a line stands: its file, the start of its part of the file, and its place in that part. Spark orders parts by
+    size, so the row id alone does not follow the files."""
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")]
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -34,19 +41,23 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, doc_id, grade) of a tab-separated file with one header line; the last of several lines for a pair counts.
+    """(query_id, doc_id, grade) of tab-separated files, each with a header line; the last of several lines for a pair counts,
+    files following each other by name.
 
     A line with another number of columns than three, or a grade that is no number, is an error that names the line.
     """
-    lines = spark.read.option("wholetext", False).text(path).withColumn("n", F.monotonically_increasing_id())
-    cells = lines.select(F.split(F.rtrim(F.regexp_replace("value", "\r$", "")), "\t").alias("c"), "value", "n").where("value != '' and value != '\r'")
-    # only the first line of the first block is a header
-    cells = cells.where("n > 0")
-    bad = cells.where((F.size("c") != 3) | ~F.col("c")[2].rlike(r"^\d+$")).orderBy("n").select("n", "value").first()
+    lines = spark.read.text(path).select("value", *_place())
+    heads = F.broadcast(lines.where("__block = 0").groupBy("__file").agg(F.min("__at").alias("__head")))  # a row per file
+    rows = lines.join(heads, "__file").where("__at != __head or __block != 0")
+    rows = rows.where("value not in ('', '\r')").withColumn("c", F.split(F.rtrim(F.regexp_replace("value", "\r$", "")), "\t"))
+    order = F.struct("__file", "__block", "__at")
+    bad = rows.where((F.size("c") != 3) | ~F.col("c")[2].rlike(r"^\d+$")).agg(F.min(F.struct("__file", "__block", "__at", "value")).alias("b")).first()["b"]
     if bad:
-        raise SchemaError(f"line {bad['n'] + 1}: {bad['value']!r} is no judgement")
-    rows = cells.select(F.col("c")[0].alias("query_id"), F.col("c")[1].alias("doc_id"), F.col("c")[2].cast("int").alias("grade"), "n")
-    return rows.groupBy("query_id", "doc_id").agg(F.max_by("grade", "n").alias("grade"))
+        file = lines.where(F.col("__file") == bad["__file"])
+        number = file.where((F.col("__block") < bad["__block"]) | ((F.col("__block") == bad["__block"]) & (F.col("__at") <= bad["__at"]))).count()
+        raise SchemaError(f"line {number}: {bad['value']!r} is no judgement")
+    cells = rows.select(F.col("c")[0].alias("query_id"), F.col("c")[1].alias("doc_id"), F.col("c")[2].cast("int").alias("grade"), order.alias("n"))
+    return cells.groupBy("query_id", "doc_id").agg(F.max_by("grade", "n").alias("grade"))
 
 
 def verify_files(folder: str, manifest: dict) -> None:

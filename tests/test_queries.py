@@ -5,15 +5,13 @@ from helpers import rows, sql_rows
 
 from sieveline.plans import catalogue
 
-SLOW = {"m6_compacted", "m8_counts", "o_query_tree_search", "e_hybrid_recipe"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_against_sql(spark, sf, duck, name):
     assert rows(catalogue.queries()[name](spark, sf)) == sql_rows(duck, catalogue.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_runs(spark, sf, name):
     assert catalogue.queries()[name](spark, sf).count() > 0
 

@@ -100,3 +100,14 @@ def test_shared_folder(spark):
     assert shared_folder(Session("hdfs:///x/")) == "hdfs:///x"
     own = shared_folder(Session(None))
     assert own.startswith("file:///") and own == shared_folder(Session(None))
+
+
+def test_several_files_follow_their_names(spark, tmp_path):
+    """Spark reads the largest part first; positions and the last line follow the names."""
+    for name, rows in (("a", 3), ("b", 400), ("c", 1)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"_id": f"{name}{i}", "text": "x" * 50}) + "\n" for i in range(rows)))
+    got = {r["external_id"]: r["doc_id"] for r in datasets.read_corpus(spark, f"{tmp_path}/*.jsonl", positions=True).collect()}
+    assert got == {f"{n}{i}": at + i for n, rows, at in (("a", 3, 0), ("b", 400, 3), ("c", 1, 403)) for i in range(rows)}
+    for name, lines in (("a", ["q\td\t1"]), ("b", ["q\td\t2"] + ["r\td\t1"] * 300), ("c", ["q\te\t3", "r\td\t7"])):
+        (tmp_path / f"{name}.tsv").write_text("\n".join(["query-id\tcorpus-id\tscore", *lines]) + "\n")
+    assert sorted(tuple(r) for r in datasets.read_qrels(spark, f"{tmp_path}/*.tsv").collect()) == [("q", "d", 2), ("q", "e", 3), ("r", "d", 7)]
