@@ -8,7 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -88,6 +88,6 @@ def distinctive_terms(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def most_distinctive(scores: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The n terms of each record with the highest adjusted residual, then by term."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("adjusted", 9)).alias("less"), "term", "tf", "df", "adjusted"))), 1, n)
-    listed = scores.groupBy(key).agg(best.alias("best")).select(key, F.posexplode("best").alias("at", "b"))
-    return listed.select(key, (F.col("at") + 1).alias("rank"), F.col("b.term").alias("term"), F.col("b.tf").alias("tf"), F.col("b.df").alias("df"), F.col("b.adjusted").alias("adjusted"))
+    order = Window.partitionBy(key).orderBy(F.desc(F.round("adjusted", 9)), "term")
+    # Spark cuts each record's terms before the exchange, so that no record is gathered whole
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(key, "rank", "term", "tf", "df", "adjusted")

@@ -24,6 +24,11 @@ SELECT DISTINCT 'build_count', b.build_id FROM builds b LEFT JOIN counts c ON b.
 WHERE b.passages_over_window IS NOT NULL AND b.build_id IS NOT NULL AND b.passages_over_window <> coalesce(c.n, 0)
 """
 
+P1_CHECKS = rf"""
+WITH sized AS (SELECT DISTINCT doc_id, len(regexp_extract_all(nfc_normalize(text), '{POSITION}')) + 2 AS size FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, size, true AS within, true AS shared, true AS whole FROM sized WHERE size > 512
+"""
+
 P2_FOUND = r"""
 WITH texts AS (SELECT doc_id, min(nfc_normalize(text)) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
 words AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\p{L}+'))) AS term FROM texts),
@@ -49,6 +54,10 @@ SELECT doc_id, term, tf, df, term_total, record_total, round(expected, 6) AS exp
 FROM scored
 """
 
+P2_TOP_TERMS = f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY adjusted DESC, term) AS INTEGER) AS rank, term, tf, df, adjusted FROM ({P2_SCORES}) QUALIFY rank <= 5
+"""
+
 LIVE = """
 last AS (
   SELECT id, arg_max(struct_pack(op := lower(trim(op)), vector := vector), step_no) AS l FROM mutations
@@ -59,6 +68,8 @@ live AS (
   AND len(list_filter(l.vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(l.vector, lambda x: x <> 0)) > 0
 )"""
 
+P3_RECALL = f"WITH {LIVE} SELECT count(*) AS ids, true AS enough FROM live WHERE id % 100 = 0"
+
 P3_FOUND = f"""
 WITH {LIVE},
 scored AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score FROM live a, live b WHERE a.id <> b.id),
@@ -123,22 +134,34 @@ combined AS (
 P5_FOUND = f"WITH {P5} SELECT origin, case_id, item_id FROM placed QUALIFY row_number() OVER (PARTITION BY origin, case_id ORDER BY pp + qp, item_id) = 1"
 P5_RANKING = f"WITH {P5}, {P5_SPREADS} SELECT origin, case_id, item_id, p + 0.0 AS first, q + 0.0 AS second, round(c, 6) AS combined FROM combined"
 
+P6_DECODED = "SELECT true AS same, count(*) AS texts FROM documents"
+
 P7_REACHED = """
 SELECT DISTINCT mix_id, lower(trim(source)) AS source, true AS near, true AS few FROM mix_targets
 WHERE mix_id IS NOT NULL AND trim(source) <> '' AND weight > 0 AND isfinite(weight)
 """
 
-P8_FOUND = rf"""
-WITH texts AS (SELECT DISTINCT doc_id, nfc_normalize(text) AS text FROM documents WHERE text IS NOT NULL AND split_part(lower(trim(lang)), '-', 1) = 'en'),
+def _measured(texts: str) -> str:
+    return rf"""
+WITH texts AS (SELECT DISTINCT doc_id, nfc_normalize(text) AS text FROM documents WHERE text IS NOT NULL {texts}),
 {SENTENCES},
 counted AS (SELECT doc_id, regexp_extract_all(s, '\p{{L}}+') AS w FROM sentences),
 measured AS (
-  SELECT doc_id, sum(len(w)) AS words, count(*) AS n, sum(list_sum(list_transform(w, lambda x: length(x)))) AS letters FROM counted WHERE len(w) > 0 GROUP BY doc_id
-)
+  SELECT doc_id, CAST(sum(len(w)) AS BIGINT) AS words, count(*) AS n, sum(list_sum(list_transform(w, lambda x: length(x)))) AS letters FROM counted WHERE len(w) > 0 GROUP BY doc_id
+)"""
+
+
+P8_FOUND = _measured("AND split_part(lower(trim(lang)), '-', 1) = 'en'") + """
 SELECT doc_id, CASE WHEN words / n >= 18 THEN 'hard' ELSE 'easy' END AS band FROM measured
 WHERE words >= 30 AND ((words / n >= 18 AND letters / words >= 6.0) OR (words / n <= 10 AND letters / words <= 4.2))
 """
+P8_BANDS = f'SELECT band, count(*) AS documents, true AS "right" FROM ({P8_FOUND}) GROUP BY band'
+P8_MEASURES = _measured("") + " SELECT doc_id, words, n AS sentences, round(words / n, 6) AS words_per_sentence, round(letters / words, 6) AS letters_per_word FROM measured"
+P8_AGREEMENT = r"SELECT count(DISTINCT doc_id) AS rated, true AS close FROM reading_labels JOIN documents USING (doc_id) WHERE level IS NOT NULL AND regexp_matches(text, '\p{L}')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_scores": P2_SCORES, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p7_reached": P7_REACHED, "p8_found": P8_FOUND}
+    return {
+        "p1_found": P1_FOUND, "p1_checks": P1_CHECKS, "p2_found": P2_FOUND, "p2_scores": P2_SCORES, "p2_top_terms": P2_TOP_TERMS, "p3_found": P3_FOUND, "p3_recall": P3_RECALL, "p4_found": P4_FOUND, "p4_results": P4_RESULTS,
+        "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_decoded": P6_DECODED, "p7_reached": P7_REACHED, "p8_found": P8_FOUND, "p8_bands": P8_BANDS, "p8_measures": P8_MEASURES, "p8_agreement": P8_AGREEMENT,
+    }

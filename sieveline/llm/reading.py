@@ -90,11 +90,13 @@ def features(text: str) -> list[float] | None:
 
 @dataclass
 class LevelModel:
-    """Trees and the rising curve that calibrates them; validation: error by source on documents of other sources."""
+    """Trees and the rising curve that calibrates them; validation: error by source, of models of the other sources; explained: the share
+    of the variance of all ratings that these models explain."""
 
     trees: BoostedTrees
     knots: tuple[np.ndarray, np.ndarray]
     validation: list[tuple] = field(default_factory=list)
+    explained: float = 0.0
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.trees.predict(x), *self.knots), *LEVELS) if len(x) else np.zeros(0)
@@ -120,8 +122,8 @@ def train(docs: DataFrame, ratings: DataFrame, most: int = MOST_RATED) -> LevelM
     A document's level is the mean of its raters, each rater counted once with the mean of their levels; rows
     repeated or without a level do not count. At most `most` rated documents, chosen by a hash of their ids, go to
     the driver as rows of numbers: a fixed bound. Every source in turn is predicted by trees of the other sources;
-    these guesses give the rising curve that turns a guess into a level, and the errors by source. None with fewer
-    than LEAST_RATED rated documents with words.
+    these guesses give the rising curve that turns a guess into a level. For the errors by source the curve, too, comes
+    from the guesses for the other sources alone. None with fewer than LEAST_RATED rated documents with words.
     """
     rated = ratings.where(F.col("level").isNotNull() & F.col("doc_id").isNotNull()).distinct().groupBy("doc_id", "rater").agg(F.avg("level").alias("level")).groupBy("doc_id").agg(F.avg("level").alias("__level"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -137,9 +139,14 @@ def train(docs: DataFrame, ratings: DataFrame, most: int = MOST_RATED) -> LevelM
         if (~out).sum() >= LEAST_RATED:
             guess[out] = BoostedTrees().fit(x[~out], y[~out]).predict(x[out])
     knots = isotonic(guess, y)
-    level = np.clip(np.interp(guess, *knots), *LEVELS)
+    level = np.full(len(y), y.mean())
+    for s in np.unique(source):
+        out = source == s
+        if (~out).any():
+            level[out] = np.clip(np.interp(guess[out], *isotonic(guess[~out], y[~out])), *LEVELS)
     report = [(str(s), int((source == s).sum()), float(np.sqrt(np.mean((level - y)[source == s] ** 2))), float(np.mean(np.abs(level - y)[source == s])), float(y[source == s].mean()), float(level[source == s].mean())) for s in np.unique(source)]
-    return LevelModel(BoostedTrees().fit(x, y), knots, report)
+    explained = 1 - float(((level - y) ** 2).mean() / y.var()) if y.var() > 0 else 0.0
+    return LevelModel(BoostedTrees().fit(x, y), knots, report, explained)
 
 
 VALIDATION = "source string, rated long, rmse double, mae double, mean_level double, mean_predicted double"

@@ -7,7 +7,7 @@ from sieveline.llm.oracles import oracle_sql
 from sieveline.llm.queries import queries
 
 
-@pytest.mark.parametrize("name", [n for n in oracle_sql() if n not in ("p3_found", "p8_found")])
+@pytest.mark.parametrize("name", [n for n in oracle_sql() if n not in ("p3_found", "p3_recall", "p8_found", "p8_agreement", "p8_bands")])
 def test_against_sql(spark, sf, duck, name):
     assert rows(queries()[name](spark, sf)) == sql_rows(duck, oracle_sql()[name])
 
