@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from sieveline.operators.schema import Schema
 from sieveline.storage import attach, is_small, materialise, spread
 
 K1, B = 1.2, 0.75
+POSTINGS = "term string, doc_id long, tf long, length int, positions array<int>"
+#: Documents whose tokens are counted at once.
+DOCS_AT_ONCE = 2_000
 
 
 def norm_length(length: Column) -> Column:
@@ -154,15 +160,15 @@ class LexicalIndex:
         return rows
 
     def all_postings(self) -> DataFrame:
-        """(field, term, doc_id, tf, length, positions) of every indexed text and keyword field: what an index stores."""
+        """(field, term, doc_id, tf, length, positions) of every indexed text and keyword field: what an index stores.
+
+        A document's tokens are counted where they arise, many documents at a time, so nothing is shuffled.
+        """
         parts = []
         for f in self.schema.fields:
             if f.indexed and f.kind in ("text", "keyword"):
-                # documents are exchanged whole, if at all: their tokens are counted where they arise
-                whole = self.tokens(f.name) if self._by_document else self.tokens(f.name).repartition("doc_id")
-                said = whole.select("doc_id", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "term"))
-                parts.append(said.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("pos")).alias("positions")).select(F.lit(f.name).alias("field"), "*"))
-        return reduce(DataFrame.unionByName, parts).select("field", "term", "doc_id", "tf", "length", "positions")
+                parts.append(self.tokens(f.name).select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(_count_places, POSTINGS).select(F.lit(f.name).alias("field"), "*"))
+        return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def constants(self) -> Constants:
@@ -440,6 +446,31 @@ class Constants(dict):
             self[n] = (row["__n"], (sums[n] or 0) / row["__n"] if row["__n"] else 0.0)
 
 
+def _count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """POSTINGS of (doc_id, tokens)."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, DOCS_AT_ONCE):
+            batch = whole.slice(first, DOCS_AT_ONCE)
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = batch.column(1).flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            by = np.lexsort((place, codes, row))
+            row, codes, place = row[by], codes[by], place[by]
+            begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])])
+            ends = np.r_[begins, len(codes)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    coded.dictionary.take(pa.array(codes[begins])), batch.column(0).take(pa.array(row[begins])), pa.array(np.diff(ends).astype(np.int64)),
+                    pa.array(lengths[row[begins]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32))),
+                ],
+                names=["term", "doc_id", "tf", "length", "positions"],
+            )
+
+
 def _summed(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score")) if len(parts) > 1 else parts[0]
 
