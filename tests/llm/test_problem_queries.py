@@ -5,6 +5,7 @@ from helpers import rows, sql_rows
 
 from sieveline.llm.oracles import oracle_sql
 from sieveline.llm.queries import queries
+from sieveline.storage import attach
 
 
 @pytest.mark.parametrize("name", [n for n in oracle_sql() if n not in ("p3_found", "p3_recall", "p8_found", "p8_agreement", "p8_bands")])
@@ -41,3 +42,18 @@ def test_repeated_item_takes_one_place(spark, tmp_path):
     spark.sql("SELECT 'q' AS query_id, id, score, TIMESTAMP'2024-01-01' AS scored_at FROM VALUES (1L, 2D), (2L, 2D), (1L, 1D) AS t(id, score)").write.parquet(f"{tmp_path}/results.parquet")
     got = sorted(tuple(r) for r in queries()["p4_found"](spark, str(tmp_path)).collect())
     assert got == [("fusion", "a", 7), ("fusion", "a", 9), ("fusion", "b", 4), ("fusion", "b", 6), ("fusion", "c", 1), ("fusion", "c", 2), ("results", "q", 1)]
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_results"])
+def test_many_queries_are_not_broadcast(spark, sf, duck, name, monkeypatch):
+    """The k of more queries than attach broadcasts, 16 copies of each: by its small file Spark would send them all to the driver."""
+    plans = []
+
+    def seen(*args, **more):
+        plans.append((df := attach(*args, **more))._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr("sieveline.storage.is_small", lambda *a: False)
+    monkeypatch.setattr("sieveline.llm.queries.attach", seen)
+    assert rows(queries()[name](spark, sf)) == sql_rows(duck, oracle_sql()[name])
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]

@@ -90,6 +90,18 @@ def test_storage_helpers(spark):
     assert shared_folder(spark) == shared_folder(spark)
 
 
+def test_a_side_beyond_the_bound_is_never_broadcast(spark):
+    small = materialise(spark.range(2000).selectExpr("id AS k", "id * 2 AS x"), "small")
+    big = spark.range(6000).selectExpr("id % 3000 AS k", "id AS v")
+    for how, want in (("inner", 4000), ("left", 6000)):
+        wide = attach(big, small, ["k"], how, rows=1999)
+        assert wide.where("x = 2 * k").count() == 4000 and wide.count() == want
+        ran = wide._jdf.queryExecution()
+        ran.toRdd().count()
+        assert "SortMergeJoin" in (plan := ran.executedPlan().toString()) and "Broadcast" not in plan
+        assert "Broadcast" in attach(big, small, ["k"], how, rows=2000)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shared_folder(spark):
     class Session:
         sparkContext = spark.sparkContext
