@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.errors import SchemaError
@@ -57,8 +57,20 @@ def lexical_index(corpus: DataFrame, fields: str, expansions: DataFrame | None =
 
 
 def run(recipe: str | Recipe, corpus: DataFrame, queries: DataFrame, embedder: Embedder | None = None, reranker: Reranker | None = None, expansions: DataFrame | None = None, sparse_terms: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, rank) of a recipe. vectors: codes, scale and norm by doc_id, made before; else they are embedded."""
+    """(query_id, doc_id, rank) of a recipe. vectors: codes, scale and norm by doc_id, made before; else they are embedded.
+
+    Queries of the same text run once and share the list, unless they bring terms of their own.
+    """
     r = RECIPES[recipe] if isinstance(recipe, str) else recipe
+    if r.sparse:
+        return _run(r, corpus, queries, embedder, reranker, expansions, sparse_terms, vectors)
+    members = materialise(queries.select("query_id", "text").withColumn("__once", F.min("query_id").over(Window.partitionBy("text"))), "queries")
+    once = members.where(F.col("query_id").eqNullSafe(F.col("__once"))).select("query_id", "text")
+    found = _run(r, corpus, once, embedder, reranker, None, None, vectors).withColumnRenamed("query_id", "__found")
+    return found.join(members, F.col("__found").eqNullSafe(F.col("__once"))).select("query_id", "doc_id", "rank")
+
+
+def _run(r: Recipe, corpus: DataFrame, queries: DataFrame, embedder: Embedder | None, reranker: Reranker | None, expansions: DataFrame | None, sparse_terms: DataFrame | None, vectors: DataFrame | None) -> DataFrame:
     lists = []
     if r.lexical:
         index = lexical_index(corpus, r.lexical, expansions if r.sparse else None)
