@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.errors import SchemaError
 from sieveline.functions.analysis import joined
 from sieveline.operators import dense, fusion, rerank
-from sieveline.operators.lexical import LexicalIndex, top_k
+from sieveline.operators.lexical import LexicalIndex
 from sieveline.operators.protocols import Embedder, embed
 from sieveline.operators.rerank import Reranker
 from sieveline.operators.schema import SPARSE_FIELD, FieldDef, Schema
@@ -77,7 +77,7 @@ def _run(r: Recipe, corpus: DataFrame, queries: DataFrame, embedder: Embedder |
         terms = {f.name: index.query_terms(queries, f.name) for f in index.schema.text_fields}
         if r.sparse:
             terms[SPARSE_FIELD] = boosted_terms(sparse_terms, 1.0, False)
-        lists.append(top_k(index.field_scores(terms), r.candidate_depth))
+        lists.append(index.best(terms, r.candidate_depth))
     if r.dense:
         if vectors is None:
             vectors = dense.quantise(embed(corpus.select("doc_id", joined(F.col("title"), F.col("text")).alias("text")), embedder)).select("doc_id", "codes", "scale", "norm")
