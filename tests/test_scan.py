@@ -15,7 +15,7 @@ PAIRS = re.compile(r"Aggregate \[query_id#\d+, doc_id#\d+L?\]|Join Cross")
 FOUND = pa.schema([("bag_id", pa.string()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 #: Queries that once made a row for each pair, and so ran out of disk or time.
-SCANS = ["e_dense_recipe", "e_lexical_recipe_v2", "l13_filtered"]
+SCANS = ["e_dense_recipe", "e_lexical_recipe_v2", "l13_filtered", "o2_candidate_depth"]
 
 
 @pytest.mark.parametrize("name", SCANS)
@@ -80,7 +80,7 @@ def _postings_of(docs, quantise):
 
 
 @pytest.mark.parametrize("k", [1, 5, 200])
-@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("stored", ["texts", "sorted", "parts"])
 @pytest.mark.parametrize("quantise", [False, True])
 def test_scan_of_postings(monkeypatch, stored, quantise, k):
     """Several slabs, frequent and rare terms, and many documents that are alike; some of them may not be answers."""
@@ -92,10 +92,15 @@ def test_scan_of_postings(monkeypatch, stored, quantise, k):
     docs = [(int(d), random.choice(words, random.integers(1, 60), p=share / share.sum()).tolist()) for d in random.permutation(300)]
     kept = {d: d % 7 > 0 for d, _ in docs}
     schema = pa.schema([("docs", pa.int64()), ("sums", pa.list_(pa.int64())), ("keys", pa.list_(pa.string())), ("dfs", pa.list_(pa.int64())), ("payload", pa.binary()), ("seq", pa.int32())])
-    if stored:
+    if stored != "texts":
         rows = sorted((d, kept[d], f"0:{t}", tokens.count(t), float(len(tokens))) for d, tokens in docs for t in set(tokens))
         table = pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "kept", "key", "tf", "length"])
-        slabs = list(scan.posting_slabs(table.to_batches(max_chunksize=97), schema))
+        if stored == "parts":
+            mixed = table.take(pa.array(random.permutation(len(rows)))).combine_chunks()
+            parts = scan.posting_parts(mixed.to_batches(max_chunksize=97), 5, pa.schema([("bucket", pa.int32()), ("payload", pa.binary())]))
+            slabs = list(scan.part_slabs(sorted(parts, key=lambda b: b.column(0)[0].as_py()), schema))
+        else:
+            slabs = list(scan.posting_slabs(table.to_batches(max_chunksize=97), schema))
     else:
         table = pa.Table.from_arrays([pa.array([d for d, _ in docs]), pa.array([kept[d] for d, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "kept", "tokens"])
         slabs = list(scan.token_slabs(iter(table.to_batches(max_chunksize=41)), [None], schema))
