@@ -162,7 +162,7 @@ def l14_sparse_field(spark: SparkSession, folder: str) -> DataFrame:
     known = materialise(expansions(spark, folder), "expansions")
     index.extra = {"_sparse": sparse_postings(known)}
     terms = {"text": index.query_terms(asked(spark, folder), "text"), "_sparse": boosted_terms(sparse_asked(spark, folder, known), 1.0, False)}
-    return top_k(index.field_scores(terms), 10, digits=6)
+    return index.best(terms, 10, digits=6)
 
 
 @query(
