@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.operators.filters import Eq, Range
-from sieveline.operators.lexical import Bool, Boost, Fuzzy, LexicalIndex, LexicalQuery, Match, Phrase, Term, norm_length, top_k
+from sieveline.operators.lexical import Bool, Boost, Fuzzy, LexicalIndex, LexicalQuery, Match, Phrase, Term, norm_length
 from sieveline.operators.sparse import boosted_terms, sparse_postings
 from sieveline.plans.common import ASKED, SCHEMA, Registry, asked, asked_terms, best, corpus, norm, postings, tokens
 from sieveline.plans.text import EXPANSIONS, expansions, sparse_asked
@@ -136,8 +136,7 @@ def l11_field_boost(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {ASKED}, {asked_terms()}, {TITLE}, scores AS (SELECT query_id, doc_id, sum(w * qtf) AS score FROM asked_terms JOIN h_w USING (term) GROUP BY ALL) {best('scores', 3)}")
 def l12_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    index = _index(spark, folder)
-    return top_k(index.match_batch(asked(spark, folder), ["title"]), 3, digits=6)
+    return _index(spark, folder).search_batch(asked(spark, folder), 3, ["title"], digits=6)
 
 
 @query(f"WITH {ASKED}, {asked_terms()}, {TEXT}, scores AS (SELECT query_id, doc_id, sum(w * qtf) AS score FROM asked_terms JOIN t_w USING (term) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND quality >= 0.5) GROUP BY ALL) {best('scores', 10)}")
