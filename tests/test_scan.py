@@ -15,7 +15,7 @@ PAIRS = re.compile(r"Aggregate \[query_id#\d+, doc_id#\d+L?\]|Join Cross")
 FOUND = pa.schema([("bag_id", pa.string()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 #: Queries that once made a row for each pair, and so ran out of disk or time.
-SCANS = ["e_dense_recipe", "e_lexical_recipe_v2", "l13_filtered", "o2_candidate_depth", "e_hybrid_recipe", "l14_sparse_field", "l8_bm25_exact_lengths", "l12_top_k", "x7_sparse_bm25", "o4_degraded_search", "o_reranked_search", "e_lexical_recipe_v1", "l2_match_all_fields", "o_hybrid_search", "s13_stored_index"]
+SCANS = ["e_dense_recipe", "e_lexical_recipe_v2", "l13_filtered", "o2_candidate_depth", "e_hybrid_recipe", "e_reranked_recipe", "l14_sparse_field", "l8_bm25_exact_lengths", "l12_top_k", "x7_sparse_bm25", "o4_degraded_search", "o_reranked_search", "e_lexical_recipe_v1", "l2_match_all_fields", "o_hybrid_search", "s13_stored_index"]
 
 
 @pytest.mark.parametrize("name", SCANS)
